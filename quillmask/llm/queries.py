@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import exact_dedup, pii
+from quillmask.llm import exact_dedup, pii, substring_dedup
 from quillmask.llm.near_dedup import near_duplicates
 
 
@@ -17,6 +17,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_windows(read_table(spark, sf_dir, "documents"))
+
+
 def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -24,10 +28,12 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_minhash": op4_minhash,
     "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_extendible_dedup": op10_extendible_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_pii": pii.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op10_extendible_dedup": exact_dedup.SQL,
 }

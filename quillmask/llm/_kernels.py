@@ -25,6 +25,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    if not len(x):
+        return x
+    s = np.sort(x)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, U(base))
     out[0] = 1
@@ -116,7 +124,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     for d in range(len(texts)):
         a, b = w.first[d], w.first[d + 1]
         if b - a >= k:
-            out.append(np.unique(every[a : b - k + 1]))
+            out.append(distinct(every[a : b - k + 1]))
         elif b > a:
             out.append(windows(w.hash[a:b], int(b - a), seed=int(b - a)))
         else:

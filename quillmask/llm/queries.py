@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import exact_dedup, pii, substring_dedup
+from quillmask.llm import exact_dedup, packing, pii, substring_dedup
 from quillmask.llm.near_dedup import near_duplicates
 
 
@@ -13,6 +13,20 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file: of the folder in ``spark.quillmask.tokenizers``, or else of the installed set."""
+    folder = spark.conf.get("spark.quillmask.tokenizers", None)
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(spark))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
 
@@ -27,6 +41,7 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_minhash": op4_minhash,
+    "op6_nnls_packing": op6_nnls_packing,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_extendible_dedup": op10_extendible_dedup,

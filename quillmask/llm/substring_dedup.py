@@ -71,7 +71,10 @@ def _sketcher(width: int, depth: int, bits: int):
         rows, slices, once, twice = [], [], [], []
         step = min(_SLICE, bits)
         for r in range(depth):
-            c, n = np.unique(_cells(h, r, bits), return_counts=True)
+            c = np.sort(_cells(h, r, bits))
+            at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            n = np.diff(np.append(at, len(c)))
+            c = c[at]
             edge = np.searchsorted(c, np.arange(0, (1 << bits) + 1, 1 << step, dtype=U))
             for s in range(len(edge) - 1):
                 part = slice(edge[s], edge[s + 1])
@@ -90,7 +93,7 @@ def _sketcher(width: int, depth: int, bits: int):
                 w = K.Words(texts)
                 every = K.windows(w.hash, width)
                 for _, a, b in _doc_windows(w, every, width):
-                    held.append(np.unique(every[a:b]))
+                    held.append(K.distinct(every[a:b]))
                     size += len(held[-1])
                 if size >= _FLUSH:
                     yield emit(held)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import exact_dedup, packing, pii, quality, substring_dedup
+from quillmask.llm import exact_dedup, html_text, packing, pii, quality, substring_dedup
 from quillmask.llm.near_dedup import near_duplicates
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
     "op4_minhash": op4_minhash,
     "op6_nnls_packing": op6_nnls_packing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import exact_dedup, html_text, packing, pii, quality, substring_dedup
+from quillmask.llm import decontam, exact_dedup, html_text, packing, pii, quality, substring_dedup
 from quillmask.llm.near_dedup import near_duplicates
 
 
@@ -21,6 +21,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
     """A vocabulary file: of the folder in ``spark.quillmask.tokenizers``, or else of the installed set."""
     folder = spark.conf.get("spark.quillmask.tokenizers", None)
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
     "op4_minhash": op4_minhash,
+    "op5_decontamination": op5_decontamination,
     "op6_nnls_packing": op6_nnls_packing,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,

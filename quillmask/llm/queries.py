@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import decontam, exact_dedup, html_text, packing, pii, quality, substring_dedup
+from quillmask.llm import decontam, exact_dedup, html_text, packing, pii, quality, substring_dedup, url_filters
 from quillmask.llm.near_dedup import near_duplicates
 
 
@@ -47,6 +47,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(read_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filters.listed(url_filters.sample_captures(pages), url_filters.sample_entries(pages))
+
+
 def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -59,11 +64,13 @@ QUERIES = {
     "op6_nnls_packing": op6_nnls_packing,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_url_filters": op9_url_filters,
     "op10_extendible_dedup": op10_extendible_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_pii": pii.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op9_url_filters": url_filters.SQL,
     "op10_extendible_dedup": exact_dedup.SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmask.llm._store import read_table
-from quillmask.llm import decontam, exact_dedup, html_text, packing, pii, quality, substring_dedup, url_filters
+from quillmask.llm import decontam, exact_dedup, html_text, licenses, packing, pii, quality, substring_dedup, url_filters
 from quillmask.llm.near_dedup import near_duplicates
 
 
@@ -17,6 +17,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -59,6 +63,7 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_nnls_packing": op6_nnls_packing,

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -176,8 +177,9 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``docs`` without its text, with a ``score`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some hundred kB, whatever the input
     others = [c for c in docs.columns if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return docs.select(*others, text).mapInArrow(_scorer(shared), schema + (", " if schema else "") + "score double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
+    schema = T.StructType([f for f in docs.schema if f.name != text] + [T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(shared), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -1,7 +1,8 @@
 """Corpus preparation: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept;
-all but the last return the columns of ``docs``.
+all but the last return the columns of ``docs``.  A row without an id cannot be named by
+the later stages and goes with the exact copies.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     net = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    scored = quality.score(docs.withColumn("\0text", F.col("text")), net, "\0text")
-    return scored.filter(F.col("score") >= QUALITY).select(*columns)
+    scored = quality.score(docs.select(F.struct("*").alias("row"), "text"), net)
+    return scored.filter(F.col("score") >= QUALITY).select("row.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,15 @@ class Workspace:
         out._quillmask_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark remove shuffle files of plans that are no longer held.
+
+        Its cleaner follows the driver JVM's garbage collection, which may not come
+        for long between two phases of one job.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def discard(self, df: DataFrame | None) -> None:
         """Deletes a settled table that no later plan reads."""
         path = getattr(df, "_quillmask_path", None)

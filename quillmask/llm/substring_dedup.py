@@ -324,12 +324,15 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, depth: int = 2, ma
     for r in dealt.mapInArrow(merge, merged).toLocalIterator():
         sketch.put(r["row"], r["slice"], r["repeated"])
     shared = spark.sparkContext.broadcast(sketch)
+    del dealt
+    work.release()
 
-    parts = max(8, octets // 12_000_000)
+    parts = max(32, octets // 32_000_000)
     send, schema = _sender(shared, parts)
     group, grouped = _grouper()
     gone = named.mapInArrow(send, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(group, grouped)
     gone = work.settle(gone, "gone")
+    work.release()
     per_doc = gone.groupBy("doc_id", "row_key").agg(F.collect_list("pos").alias("gone"))
     finish, schema = _finisher(width, with_text)
     return text.join(per_doc, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone").mapInArrow(finish, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import checks
 from quillmask.functions import text as T
 from quillmask.functions.lexicons import IBAN_COUNTRIES, KINDS, ROLE_INBOXES
-from quillmask.operators import detect, resolve, restore, rewrite, rules, scan, score
+from quillmask.operators import detect, resolve, restore, review, rewrite, rules, scan, score
 from quillmask.plans import redact as plan
 from quillmask.sources import readers
 
@@ -535,3 +535,122 @@ def _pdf(spark, sf_dir):
 @query("engine_version", f"SELECT '{plan.ENGINE_VERSION}' AS version, {len(rules.DIRECT) + len(rules.LABELS)} AS general_rules, {len(rules.HAN) + len(rules.HAN_LABELS)} AS han_rules")
 def _version(spark, sf_dir):
     return spark.range(1).select(F.lit(plan.ENGINE_VERSION).alias("version"), F.lit(len(rules.DIRECT) + len(rules.LABELS)).alias("general_rules"), F.lit(len(rules.HAN) + len(rules.HAN_LABELS)).alias("han_rules"))
+
+
+# --- review -------------------------------------------------------------------
+
+_ENTRIES = [("p", "a@x.example", "EMAIL_001", "EMAIL", "email address", 3), ("p", "Mara Quill", "PERSON_001", "PERSON", "title plus person name", 2), ("p", "Falcon", "CUSTOM_002", "CUSTOM", "user custom term", 0), ("q", "Acme", "ORG_001", "ORG", "organization suffix", 1)]
+_ENTRY_COLUMNS = "pack_id, value, replacement, kind, reason, match_count"
+
+
+def _entries(spark) -> DataFrame:
+    rows = _fixture(spark, _ENTRIES, "pack_id string, value string, replacement string, kind string, reason string, match_count long")
+    return rows.withColumn("sources", F.array(F.concat("pack_id", F.lit("-mail.md"))))
+
+
+@query("entry_search", f"SELECT pack_id, value FROM {_values(_ENTRIES, _ENTRY_COLUMNS)} WHERE contains(lower(value || '|' || replacement || '|' || kind || '|' || reason), 'person')")
+def _search(spark, sf_dir):
+    return review.entry_search(_entries(spark), "PERSON").select("pack_id", "value")
+
+
+@query("entry_group", f"SELECT kind, count(*) AS n, CAST(sum(match_count) AS BIGINT) AS matches, CAST({_PRIORITY} AS INTEGER) AS display_order FROM {_values(_ENTRIES, _ENTRY_COLUMNS)} GROUP BY kind")
+def _group(spark, sf_dir):
+    return review.entry_group(_entries(spark))
+
+
+@query("entry_totals", f"SELECT count(*) AS rules, CAST(sum(match_count) AS BIGINT) AS replacements, count(*) || ' rules, ' || sum(match_count) || ' replacements' AS text FROM {_values(_ENTRIES, _ENTRY_COLUMNS)} WHERE match_count > 0")
+def _totals(spark, sf_dir):
+    return review.entry_totals(_entries(spark))
+
+
+@query("entry_add_manual", f"SELECT pack_id, 'CUSTOM_' || lpad(CAST(max(coalesce(TRY_CAST(regexp_extract(replacement, '^CUSTOM_([0-9]+)$', 1) AS INTEGER), 0)) + 1 AS VARCHAR), 3, '0') AS replacement FROM {_values(_ENTRIES, _ENTRY_COLUMNS)} GROUP BY pack_id")
+def _manual(spark, sf_dir):
+    return review.next_custom(_entries(spark))
+
+
+@query("possessive", "SELECT v AS value, CASE WHEN regexp_matches(v, '(?i)[''’]s$') THEN 'X_001''s' ELSE 'X_001' END AS shown FROM (VALUES ('Ann''s'), ('Ann’S'), ('Anns'), ('')) AS t(v)")
+def _possessive(spark, sf_dir):
+    rows = _fixture(spark, [("Ann's",), ("Ann’S",), ("Anns",), ("",)], "value string")
+    return rows.select("value", T.possessive(F.col("value"), F.lit("X_001")).alias("shown"))
+
+
+_ANCHORED = [(1, '<span id="_Toc12" class="anchor"></span>Intro'), (2, "[Intro [1](#_Toc1)](#_Toc1)"), (3, "see [x](#_Toc9) and [y](z)"), (4, "plain")]
+
+
+@query(
+    "strip_anchors",
+    r"SELECT id, regexp_replace(regexp_replace(regexp_replace(v, '(?i)<span\s+id=\"_Toc[0-9]+\"\s+class=\"anchor\"\s*></span>', '', 'g'), '\[([^\[\]\n]+?)\s+\[([0-9]+)\]\(#_Toc[0-9]+\)\]\(#_Toc[0-9]+\)', '\1 \2', 'g'), '\[([^\[\]\n]+)\]\(#_Toc[0-9]+\)', '\1', 'g') AS text FROM "
+    + _values(_ANCHORED, "id, v"),
+)
+def _anchors(spark, sf_dir):
+    return _fixture(spark, _ANCHORED, "id int, v string").select("id", T.strip_anchors(F.col("v")).alias("text"))
+
+
+@query(
+    "preview_search",
+    """SELECT h.doc_id, h.start, h.start + 11 AS "end", substr(text, greatest(h.start - 54, 0) + 1, 11 + least(h.start, 54) + 54) AS snippet, EXISTS (SELECT 1 FROM ("""
+    + _SPANS_SQL
+    + """) s WHERE s.doc_id = h.doc_id AND s.start < h.start + 11 AND h.start < s."end") AS redacted FROM (
+ SELECT doc_id, text, CAST(sum(length(g) + 11) OVER (PARTITION BY doc_id ORDER BY i) - 11 AS BIGINT) AS start FROM (
+  SELECT doc_id, text, unnest(gs[1:len(gs) - 1]) AS g, generate_subscripts(gs[1:len(gs) - 1], 1) AS i FROM (SELECT doc_id, text, string_split(lower(text), 'example.com') AS gs FROM documents) WHERE len(gs) > 1)) h""",
+)
+def _preview(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = review.preview_search(docs, _spans(spark, sf_dir), "Example.com")
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "snippet", "redacted")
+
+
+@query("predicted_spans")
+def _predicted(spark, sf_dir):
+    return score.predicted_spans(plan.redact(_packs(spark, sf_dir), level=1).documents)
+
+
+@query("reconstruct", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents")
+def _reconstruct(spark, sf_dir):
+    return score.reconstruct(plan.redact(_packs(spark, sf_dir), level=1).documents)
+
+
+_NEEDLES = [("d", 1, "redact", "Ann Lee", "PERSON", "high", None), ("d", 2, "redact", "Lee", "PERSON", "low", None), ("d", 3, "keep", "met", "OTHER", "none", 1), ("d", 4, "redact", "a.b", "URL", "low", None)]
+
+
+@query("gold_build")
+def _gold_build(spark, sf_dir):
+    docs = _fixture(spark, [("d", "Ann Lee met Lee; they met at a.b, not axb.")], "doc_id string, text string")
+    return review.gold_build(docs, _fixture(spark, _NEEDLES, "doc_id string, item_ord int, action string, needle string, label string, severity string, most int"))
+
+
+@query("gold_validate")
+def _gold_validate(spark, sf_dir):
+    gold = _gold(spark, sf_dir).withColumn("text", F.lit("x"))
+    return score.gold_validate(gold, _table(spark, sf_dir, "documents")).select("doc_id", "id", "problem")
+
+
+@query("prediction_support")
+def _support(spark, sf_dir):
+    gold = _gold(spark, sf_dir)
+    return review.prediction_support(_spans(spark, sf_dir), gold.filter("severity = 'high'"), gold.filter("severity = 'low'"))
+
+
+@query("report_render")
+def _report(spark, sf_dir):
+    return review.report_markdown(_buckets(spark, sf_dir))
+
+
+@query("restore_parse")
+def _restore_parse(spark, sf_dir):
+    one = '{"kind": "restore-key", "version": 1, "level": "light", "entries": [{"replacement": "EMAIL_001", "value": "a@x.example", "kind": "EMAIL", "reason": "r", "sources": ["s"]}, {"replacement": "EMAIL_001", "value": "b@x.example", "kind": "EMAIL", "reason": "r", "sources": [], "count": 4}]}'
+    return restore.restore_parse(_fixture(spark, [("p", one)], "pack_id string, json string"))
+
+
+@query("restore_remaining")
+def _remaining(spark, sf_dir):
+    drafts = _fixture(spark, _DRAFTS, "pack_id string, draft_id string, text string")
+    return restore.restore_remaining(restore.restore_text(drafts, _key(spark)), _key(spark))
+
+
+@query("merge_entries")
+def _merge_entries(spark, sf_dir):
+    detected = resolve.entries(_email_candidates(spark, sf_dir))
+    first = detected.groupBy("pack_id").agg(F.min("id").alias("id"))
+    user = detected.join(first, ["pack_id", "id"], "left_semi").withColumn("replacement", F.lit("HIDDEN"))
+    return resolve.merge_entries(detected, user, first.limit(0)).select("pack_id", "id", "replacement")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.functions.lexicons import KINDS, TITLES
+from quillmask.functions.lexicons import AMBIGUOUS_NAMES, KINDS, TITLES
 from quillmask.functions.text import dedupe_norm, entry_id
 
 
@@ -44,27 +44,48 @@ def suppress_weaker(merged: DataFrame) -> DataFrame:
     return kept.filter(~((F.col("kind") == "PROPER_NOUN") & (F.col("_o") == 1)) & ~((F.col("kind") == "PERSON") & (F.col("_s") == 1))).drop("_o", "_s")
 
 
+# Contexts of aliases, with the part of a name they stand for and the reason.
+_TITLED = r"\b(?:" + "|".join(TITLES) + r")\.?\s+([A-Z][A-Za-z'’-]+)"
+_VERB = "testified|stated|said|confirmed|explained|denied|claimed|alleged|gave|recalled|noted|argued|wrote|admitted|replied|agreed|asked|told|signed|received"
+ALIASES = (
+    (_TITLED, 0, "surname", "title plus surname alias"),
+    (rf"\b([A-Z][A-Za-z'’-]+?)(?:['’]s)?\s+(?:also\s+|further\s+)?(?:{_VERB})\b", 1, "surname", "bare surname in witness sentence"),
+    (r"\b(?:Dear|Hi|Hello)\s+([A-Z][A-Za-z'’-]+)", 1, "surname", "surname in salutation"),
+    (r"\b([A-Z][A-Za-z'’-]+\s+[A-Z][A-Za-z'’-]+)\b", 1, "ends", "first and last name alias"),
+    (r"\b(?:to|from|with|by|copying)\s+([A-Z][A-Za-z'’-]+)\b", 1, "given", "given alias in communication context"),
+    (r"\b([A-Z][A-Za-z-]+)['’]s\s+[Rr]esponse\b", 1, "given", "given alias in response heading"),
+    (rf"\b([A-Z][A-Za-z'’-]+)\s+(?:{_VERB})\b", 1, "given", "given alias before witness verb"),
+)
+
+
 def person_aliases(merged: DataFrame, docs: DataFrame) -> DataFrame:
-    """Titled surnames and salutations that stand in any document of a pack whose full name is known.
+    """Parts of a pack's full names that stand in a telling context in any of its documents.
 
-    Texts are cut into titled or greeted surnames once; these join the surnames of the pack.
+    Each context is cut out of a text once; what it holds joins the parts of the pack's
+    names: surnames, first and last names of longer ones, and given names that only one has.
     """
-    names = merged.filter("kind = 'PERSON'").select("pack_id", "level", "seq", F.regexp_replace(F.regexp_replace("value", rf"(?i)\A(?:{'|'.join(TITLES)})\.?\s+", ""), r"['’]s\z", "").alias("full"))
-    names = names.filter(F.col("full").rlike(r"\A[A-Z][A-Za-z'’-]+(?:\s+[A-Z][A-Za-z'’-]+)+\z"))
-    surname = F.element_at(F.split("full", r"\s+"), -1)
-    names = names.select("pack_id", "level", surname.alias("surname"), "seq").filter(F.length("surname") > 2)
-    names = names.groupBy("pack_id", "surname").agg(F.min_by("level", "seq").alias("level"))
-    titled = r"\b(?:" + "|".join(TITLES) + r")\.?\s+([A-Z][A-Za-z'’-]+)"
-    greeted = r"\b(?:Dear|Hi|Hello)\s+([A-Z][A-Za-z'’-]+)"
+    titles = rf"(?i)\A(?:{'|'.join(TITLES)})\.?\s+"
+    names = merged.filter("kind = 'PERSON'").select("pack_id", "level", "seq", F.regexp_replace(F.regexp_replace("value", titles, ""), r"['’]s\z", "").alias("full"))
+    names = names.filter(F.col("full").rlike(r"\A[A-Z][A-Za-z'’-]+(?:\s+[A-Z][A-Za-z'’-]+)+\z")).withColumn("w", F.split("full", r"\s+"))
+    first, last = F.element_at("w", 1), F.element_at("w", -1)
+    ends = F.when(F.size("w") > 2, F.concat_ws(" ", first, last))
+    parts = names.select("pack_id", "level", "seq", "full", F.explode(F.array(
+        F.struct(F.lit("surname").alias("part"), last.alias("alias")), F.struct(F.lit("ends").alias("part"), ends.alias("alias")), F.struct(F.lit("given").alias("part"), first.alias("alias")),
+    )).alias("p")).select("pack_id", "level", "seq", "full", "p.*")
+    parts = parts.filter((F.length("alias") > 2) | F.col("alias").isin("Li", "Xu", "Mu")).groupBy("pack_id", "part", "alias").agg(F.min_by("level", "seq").alias("level"), F.countDistinct("full").alias("n"))
+    parts = parts.filter((F.col("part") != "given") | ((F.col("n") == 1) & ~F.col("alias").isin(*AMBIGUOUS_NAMES))).drop("n")
     text = F.coalesce("text", F.lit(""))
-    found = None
-    for i, (pattern, group, reason) in enumerate(((titled, 0, "title plus surname alias"), (greeted, 1, "surname in salutation"))):
-        hits = docs.select("pack_id", "doc_ord", "name", F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"))).alias("m"), text.alias("t"))
-        hits = hits.select("pack_id", "doc_ord", "name", F.col("m.v").alias("value"), F.col("m.s").alias("surname"), (F.instr("t", F.col("m.v")) - 1).alias("pos"), F.lit(reason).alias("reason"), F.lit(i).alias("rule"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.join(names, ["pack_id", "surname"]).select(
-        "pack_id", "doc_ord", F.lit("PERSON").alias("kind"), "value", "level", "reason", F.col("pos").cast("int").alias("pos"), F.col("name").alias("source"),
-        F.struct("doc_ord", F.lit(90).alias("detector"), "rule", F.col("pos").cast("int").alias("pos")).alias("seq"),
+
+    def hits(i: int) -> Column:
+        pattern, group, part, reason = ALIASES[i]
+        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"))
+        return F.transform(both, lambda m: F.struct(m["v"].alias("value"), m["a"].alias("alias"), F.lit(part).alias("part"), F.lit(reason).alias("reason"), F.lit(i).alias("rule")))
+
+    found = docs.select("pack_id", "doc_ord", "name", text.alias("t"), F.explode(F.array_distinct(F.flatten(F.array(*[hits(i) for i in range(len(ALIASES))])))).alias("m"))
+    found = found.select("pack_id", "doc_ord", "name", "m.*", (F.instr("t", F.col("m.value")) - 1).cast("int").alias("pos"))
+    return found.join(parts, ["pack_id", "part", "alias"]).select(
+        "pack_id", "doc_ord", F.lit("PERSON").alias("kind"), "value", "level", "reason", "pos", F.col("name").alias("source"),
+        F.struct("doc_ord", F.lit(90).alias("detector"), "rule", "pos").alias("seq"),
     )
 
 

@@ -34,9 +34,17 @@ def clean(v: str) -> str:
     return " ".join(v.split())
 
 
+#: Letters that a text must hold, in lower case, for a rule to match at all; for rules that no digit guards.
+_NEEDS = {
+    "SWIFT/BIC code": ("swift", "bic"), "OCR-spaced SWIFT/BIC code": ("ift",), "sales channel label": ("channel",), "label-bound bare domain URL": (":", "#"), "messaging handle label": ("@", "wechat"),
+    "skype live: handle label": ("skype",), "Vehicle Identification Number (VIN) label": ("vin", "vehicle"), "travel/shipping identifier label": ("passport", "tracking", "booking"), "HMRC reference": ("hmrc",),
+    "bare www. website URL (no scheme)": ("www",), "LEI legal entity identifier": ("lei", "legal"), "SEDOL securities identifier": ("sedol",), "OCR-spaced bank account number label": ("accoun",),
+}
+
+
 @functools.cache
-def _direct() -> list[tuple[R.Rule, re.Pattern, bool]]:
-    return [(r, _py(r.pattern, r.ignore_case, r.multiline), r"\d" in r.pattern and r.kind not in ("EMAIL", "URL")) for r in R.DIRECT]
+def _direct() -> list[tuple[R.Rule, re.Pattern, bool, tuple[str, ...]]]:
+    return [(r, _py(r.pattern, r.ignore_case, r.multiline), r"\d" in r.pattern and r.kind not in ("EMAIL", "URL"), _NEEDS.get(r.reason, ())) for r in R.DIRECT]
 
 
 @functools.cache
@@ -69,7 +77,10 @@ def iban_ok(v: str) -> bool:
 
 def direct(text: str) -> Iterator[Found]:
     digits = any(c.isdigit() and c.isascii() for c in text)
-    for i, (r, p, needs_digit) in enumerate(_direct()):
+    lower = text.lower()
+    for i, (r, p, needs_digit, letters) in enumerate(_direct()):
+        if letters and not any(x in lower for x in letters):
+            continue
         if needs_digit and not digits or r.kind == "EMAIL" and "@" not in text or r.kind == "NON_LATIN_TEXT" and text.isascii():
             continue
         for m in p.finditer(text):
@@ -115,7 +126,8 @@ def han(text: str) -> Iterator[Found]:
     for m in re.finditer(r"(?:审\s*判\s*长|审\s*判\s*员|书\s*记\s*员|人\s*民\s*陪\s*审\s*员|代\s*理\s*审\s*判\s*员)\s*[:：]?\s*([一-鿿](?:\s*[一-鿿]){1,3})(?=\s*(?:\r?\n|\Z))", text):
         yield "PERSON", 2, "Chinese court signature name", "".join(m[1].split()), m.start(), 303
     for m in re.finditer(r"(?:^|(?<=[，,。；;：:、\s（(由与和对向请为]))([一-鿿]{1,3})(?:先生|女士|小姐)", text):
-        yield "PERSON", 2, "Chinese honorific-suffixed name", m[1] + m[0][len(m[1]) :], m.start(), 304
+        lead = len(m[1]) - len(m[1].lstrip("由与和对向请为致给让")) if len(m[1]) > 1 else 0
+        yield "PERSON", 2, "Chinese honorific-suffixed name", m[0][lead:], m.start() + lead, 304
     for m in re.finditer(r"(?<!《)[一-鿿（）()A-Za-z0-9]{2,30}?(?:有限责任公司|股份有限公司|有限公司|集团公司|律师事务所|会计师事务所|仲裁委员会|人民法院|人民检察院|医院|大学|银行)", text):
         value = re.sub("^.*?(?:系|为|由|与|和|向|对|在|至|以及|及|被|将)(?=[一-鿿]{4})", "", m[0])
         yield "ORG", 2, "Chinese context organization (strong suffix)", value, m.start(), 305
@@ -247,6 +259,67 @@ def people(text: str, rows: list[tuple[int, str]]) -> Iterator[Found]:
             yield "PERSON", 1, "contact line before email", m[1], pos, 36
 
 
+_CAPS = r"[A-Z][A-Z.'’-]+(?:[^\S\r\n]+[A-Z][A-Z.'’-]*){1,3}"
+_ROLE = r"(?:Plaintiff|Defendant|Petitioner|Respondent|Appellant|Appellee|Claimant)s?"
+_CAPTION_PARTY = re.compile(rf"\b({_CAPS}),?(?:[^\S\r\n]*\(?{_ROLE}\b|[^a-z]{{0,300}}?\b{_ROLE}\b)")
+_PERSONNEL = re.compile(r"\s*(?:Commissioners|Judges|Before|Panel|Present|Coram)\s*[:：]?\s+(.+)")
+
+
+def headings(text: str, rows: list[tuple[int, str]]) -> Iterator[Found]:
+    """People of patent headers, captions and tables."""
+    inventors = personnel = False
+    for pos, line in rows:
+        m = re.match(r"\s*(?:\(\d+\)\s*)?(?:Inventors?|Applicants?)\s*[:：]\s*(.+)", line)
+        if m or inventors and line.strip():
+            for name in re.finditer(NAME, m[1] if m else line):
+                if looks_like_person(name[0]):
+                    yield "PERSON", 1, "patent inventor name", name[0], pos, 40
+        inventors = bool(m)
+        m = _PERSONNEL.match(line)
+        more = personnel and line.startswith(" " * 8) and line.strip()
+        if m or more:
+            for name in re.finditer(NAME, m[1] if m else line):
+                if looks_like_person(name[0]):
+                    yield "PERSON", 2, "caption-block personnel" if m else "caption-block continuation", name[0], pos, 41
+        personnel = bool(m or more)
+        s = line.strip()
+        if re.fullmatch(r"[A-Z][A-Z'’-]+(?: [A-Z][A-Z'’-]+){1,2}", s) and looks_like_person(s.title()):
+            yield "PERSON", 2, "all-caps line person", s, pos, 43
+    for m in _CAPTION_PARTY.finditer(text):
+        if looks_like_person(m[1].title()):
+            yield "PERSON", 2, "caption party name", m[1], m.start(), 42
+    for m in re.finditer(r">([A-Z][A-Z'’-]+(?: [A-Z][A-Z'’-]+){1,2})<", text):
+        if looks_like_person(m[1].title()):
+            yield "PERSON", 2, "all-caps table person", m[1], m.start(1), 44
+    for m in re.finditer(r"\b(?:Inventors?|Applicants?|Assignees?)\b", text):
+        for r in re.finditer(r"\b([A-Z][A-Za-z'’ -]{2,30}?)\s*\(([A-Z]{2})\)", text[m.end() : m.end() + 120]):
+            yield "LOCATION", 2, "patent inventor/assignee residence", r[1].split(",")[-1], m.end() + r.start(), 45
+
+
+_ZH_ADDRESS = "|".join(sorted(R.HAN_LABELS[4].labels.split(), key=lambda x: (-len(x), x)))
+_ZH_LABEL_LINE = re.compile(r"[\u4e00-\u9fff]{2,8}\s*[：:]")
+
+
+def han_addresses(rows: list[tuple[int, str]]) -> Iterator[Found]:
+    """Han addresses over several lines, after an empty label or wrapped from their first line."""
+    for k, (pos, line) in enumerate(rows):
+        m = re.fullmatch(rf"\s*(?:{_ZH_ADDRESS})\s*[：:]\s*(.*?)\s*", line)
+        if not m:
+            continue
+        parts, most = ([m[1]], 4) if m[1] else ([], 5)
+        if m[1] and (not re.search(r"\d", m[1], re.A) or re.search("[。；;]$", m[1])):
+            continue
+        for _, nxt in rows[k + 1 :]:
+            t = nxt.strip()
+            if len(parts) >= most or not t or not _HAN_CHAR.search(t) or _ZH_LABEL_LINE.match(t) or len(t) > 40 or re.search("[。；;]", t[:-1]):
+                break
+            parts.append(t.rstrip("。；;"))
+        if len(parts) > (1 if m[1] else 0):
+            yield "ADDRESS", 2, "Chinese wrapped labeled address" if m[1] else "Chinese multi-line labeled address", "".join(parts), pos, 310
+            for part in parts:
+                yield "ADDRESS", 2, "Chinese wrapped labeled address" if m[1] else "Chinese multi-line labeled address", part, pos, 311
+
+
 _TAIL = "|".join([*L.ORG_TAILS, *(w.upper() for w in L.ORG_TAILS), "Law Offices"])
 _ORG = re.compile(rf"\b((?:[A-Z][A-Za-z0-9'’.-]*[A-Za-z0-9]|[A-Z]&[A-Z]|&)(?:[^\S\r\n]+(?:[A-Z][A-Za-z0-9'’.-]*[A-Za-z0-9]|&|of|and)){{0,6}}(?:[^\S\r\n]+(?:{_TAIL})|,?[^\S\r\n]+(?:{L.LEGAL_FORMS})))(?![A-Za-z0-9])")
 _GENERIC = frozenset("Services Service Systems System Solutions Solution Groups Holding Company Limited The".split()) | frozenset(L.ORG_TAILS)
@@ -342,7 +415,7 @@ def other(text: str) -> Iterator[Found]:
 
 def all_found(text: str) -> Iterator[tuple[int, Found]]:
     rows = lines_of(text)
-    for number, some in enumerate((direct(text), han(text), labels(rows), recipients(rows), blocks(rows), people(text, rows), organizations(text), other(text))):
+    for number, some in enumerate((direct(text), han(text), labels(rows), recipients(rows), blocks(rows), people(text, rows), organizations(text), other(text), headings(text, rows), han_addresses(rows))):
         for f in some:
             yield number, f
 

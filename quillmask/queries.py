@@ -654,3 +654,68 @@ def _merge_entries(spark, sf_dir):
     first = detected.groupBy("pack_id").agg(F.min("id").alias("id"))
     user = detected.join(first, ["pack_id", "id"], "left_semi").withColumn("replacement", F.lit("HIDDEN"))
     return resolve.merge_entries(detected, user, first.limit(0)).select("pack_id", "id", "replacement")
+
+
+# --- detectors by name, on fixtures -------------------------------------------
+
+_LETTERS = [
+    "From: Ann Lee <ann.lee@x.example>, accounts@x.example\nTo: Bo Chen (Acme LLP) <bo@y.example>\nClient: Blue Sky Trading Limited\nRef: AB-12; CD-34\nAttention:\nMara Quill\nAddress: 12 Baker Street\nSuite 5, Tower Block\n\nDear Sir",
+    "Inventors: Ann Lee, Springfield (US); Bo Chen, Leeds (GB)\n         Carl Diaz, Lyon (FR)\nAssignee: Acme Corp",
+    "Before: Ann Lee, Commissioner\n          Bo Chen\nMARA QUILL, Plaintiff, v. CARL DIAZ, Defendant\n<td>JOHN SMITH</td>\nMARY JONES",
+    "This lease is between Ann Lee (the \"Tenant\") and Bo Chen, Carl Diaz and Mara Quill.\nSigned\n/s/ Ann Lee\nName: Bo Chen\nWitness Statement of Carl Diaz\nMr. Diaz testified. Bo's response. Dear Lee,",
+    "Project Falcon ran in London and New York. Falcon needs product candidate AB-123. Grand Lake Pier opened. Grand Lake Pier closed. Grand Lake Pier fell. London Stock Exchange rules.",
+    "100 Main Street\nBoston, MA 02110\nP.O. Box 12",
+    "住址：\n北京市海淀区\n中关村大街1号\n联系人：张伟\n地址：上海市浦东新区世纪大道100号\n环球金融中心20楼\n甲方：北京蓝天科技有限公司\n乙方：李明\n由王小明与赵强就买卖事宜\n审 判 长 王 建 国\n授权代表签字（刘洋）\n请李女士联系。身份证号：11010519491231002X",
+    None, "",
+]
+_DETECTORS = {
+    "detect_labels": "detector = 2 and reason like '%label'", "detect_recipients": "reason = 'email recipient display name'", "detect_label_cont": "reason = 'label continuation value'",
+    "detect_addr_cont": "reason = 'address continuation'", "detect_addr_line": "reason = 'standalone address-looking line'", "detect_addr_tail": "reason like 'address-tail%'",
+    "detect_people": "kind = 'PERSON' and detector = 5", "detect_inventors": "reason = 'patent inventor name'", "detect_person_lists": "reason = 'title-case person in list'",
+    "detect_person_lines": "reason = 'standalone title-case person line'", "detect_attention": "reason like 'attention block%'", "detect_caption_personnel": "reason like 'caption-block%'",
+    "detect_caption_party": "reason = 'caption party name'", "detect_preamble_party": "reason = 'contract preamble party'", "detect_signature": "reason = 'signature block name'",
+    "detect_orgs": "kind = 'ORG' and detector = 6", "detect_matter": "reason like 'project%'", "detect_product_code": "reason = 'product-candidate code'", "detect_locations": "kind = 'LOCATION'",
+    "detect_proper_nouns": "kind = 'PROPER_NOUN'", "detect_zh_direct": "detector = 1 and rule < 200", "detect_zh_labels": "detector = 1 and rule between 200 and 299",
+    "detect_zh_addr_block": "reason = 'Chinese multi-line labeled address'", "detect_zh_addr_wrap": "reason = 'Chinese wrapped labeled address'", "detect_zh_orgs": "reason like 'Chinese context organization%'",
+    "detect_zh_party": "reason like 'Chinese party role%'", "detect_zh_agreement": "reason = 'Chinese agreement party heading'", "detect_zh_signature": "reason like 'Chinese signature%'",
+    "detect_zh_court": "reason = 'Chinese court signature name'", "detect_zh_honorific": "reason = 'Chinese honorific-suffixed name'",
+}
+
+
+def _detector(condition: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _packs(spark, sf_dir).unionByName(detect.sample_pack(spark, _LETTERS, "letters"))
+        return scan.detect(docs).filter(condition).select("pack_id", F.col("doc_ord").alias("doc_id"), "kind", "level", "reason", "value", "pos")
+
+    return run
+
+
+for _name, _condition in _DETECTORS.items():
+    QUERIES[_name] = _detector(_condition)
+
+
+@query("alias_person")
+def _aliases(spark, sf_dir):
+    docs = detect.sample_pack(spark, _LETTERS, "letters")
+    merged = resolve.merge(plan.candidates_of(docs))
+    return resolve.person_aliases(merged, docs).select("pack_id", F.col("doc_ord").alias("doc_id"), "value", "level", "reason", "pos")
+
+
+@query("alias_org")
+def _alias_org(spark, sf_dir):
+    rows = _fixture(spark, [("p", "ORG", "Blue Sky (UK) Limited", 2, 5), ("p", "ORG", "Acme Ltd", 2, 9)], "pack_id string, kind string, value string, level int, pos int")
+    merged = rows.withColumns({"seq": F.struct(F.lit(0).alias("doc_ord"), F.lit(0).alias("detector"), F.lit(0).alias("rule"), "pos"), "sources": F.array(F.lit("a"))})
+    return resolve.org_aliases(merged).select("pack_id", "value", "reason")
+
+
+@query("alias_zh_addr")
+def _alias_zh(spark, sf_dir):
+    rows = _fixture(spark, [("p", "ADDRESS", "上海市浦东新区世纪大道100号20楼1室", 2, 5)], "pack_id string, kind string, value string, level int, pos int")
+    merged = rows.withColumns({"seq": F.struct(F.lit(0).alias("doc_ord"), F.lit(0).alias("detector"), F.lit(0).alias("rule"), "pos"), "sources": F.array(F.lit("a"))})
+    return resolve.address_aliases(merged).select("pack_id", "value", "reason")
+
+
+@query("canonical_person")
+def _canonical(spark, sf_dir):
+    rows = [("p", "PERSON", v, 1, i) for i, v in enumerate(("Mara Quill", "Ms Quill", "Quill", "Ann Lee", "Bo Lee", "Lee"))]
+    return resolve.canonical_person(_fixture(spark, rows, "pack_id string, kind string, value string, level int, pos int")).select("value", "canonical")

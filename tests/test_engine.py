@@ -154,3 +154,30 @@ def test_stream(spark, tmp_path):
     q = redact_stream(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check")
     q.awaitTermination(180)
     assert [r.sanitized for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["mail EMAIL_001"]
+
+
+def test_contextual_detectors_fire_on_their_letters():
+    from quillmask.queries import _LETTERS
+
+    found = {}
+    for t in _LETTERS:
+        for _, f in scan.all_found(t) if t else ():
+            found.setdefault(f[2], set()).add(f[3])
+    want = {
+        "email recipient display name": {"Ann Lee", "Bo Chen"}, "label continuation value": {"Mara Quill"}, "address continuation": {"Suite 5, Tower Block"}, "patent inventor name": {"Ann Lee", "Bo Chen", "Carl Diaz"},
+        "patent inventor/assignee residence": {"Springfield", "Leeds", "Lyon"}, "caption party name": {"MARA QUILL", "CARL DIAZ"}, "caption-block continuation": {"Bo Chen"}, "all-caps table person": {"JOHN SMITH"},
+        "contract preamble party": {"Ann Lee"}, "signature block name": {"Ann Lee", "Bo Chen"}, "address-tail ZIP": {"02110"}, "Chinese honorific-suffixed name": {"李女士"}, "Chinese court signature name": {"王建国"},
+        "Chinese agreement party heading": {"王小明", "赵强"}, "product-candidate code": {"AB-123"}, "project codename alias": {"Falcon"},
+    }
+    assert {k: found.get(k) for k in want} == want
+    assert "London" in found["common location"]
+
+
+def test_aliases_and_canonical_names(spark):
+    docs = detect.sample_pack(spark, ["Dr. Mara Ida Quill came. Quill said yes. Mara Quill left.", "Dear Quill, sent to Mara today. Lee said no."])
+    got = {(r.reason, r.value) for r in resolve.person_aliases(resolve.merge(detect.add_candidates(scan.detect(docs))), docs).collect()}
+    assert {("bare surname in witness sentence", "Quill"), ("surname in salutation", "Quill"), ("first and last name alias", "Mara Quill"), ("given alias in communication context", "Mara")} <= got
+    assert not any(v == "Lee" for _, v in got)
+    rows = [("p", "PERSON", v, 1, i) for i, v in enumerate(("Mara Quill", "Ms Quill", "Quill", "Ann Lee", "Bo Lee", "Lee"))]
+    mapped = {r.value: r.canonical for r in resolve.canonical_person(spark.createDataFrame(rows, "pack_id string, kind string, value string, level int, pos int")).collect()}
+    assert mapped == {"Mara Quill": "Mara Quill", "Ms Quill": "Mara Quill", "Quill": "Mara Quill", "Ann Lee": "Ann Lee", "Bo Lee": "Bo Lee", "Lee": "Lee"}

@@ -6,6 +6,7 @@ Everything is keyed by ``pack_id``: grouped aggregates and windows of (pack, val
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,12 +143,13 @@ def token(kind: Column, number: Column) -> Column:
 
 def entries(candidates: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Numbered entries of each pack from gated candidates; aliases need the documents."""
-    merged = merge(candidates)
+    # what several later steps read is kept, or each of them would repeat all before it
+    merged = merge(candidates).persist(StorageLevel.MEMORY_AND_DISK)
     if docs is not None:
         more = person_aliases(merged, docs).unionByName(org_aliases(merged)).unionByName(address_aliases(merged))
         merged = merge(candidates.unionByName(more))
-    resolved = suppress_weaker(resolve_exact_kind(merged))
-    numbered = assign_tokens(canonical_person(resolved))
+    resolved = suppress_weaker(resolve_exact_kind(merged)).persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = assign_tokens(canonical_person(resolved).persist(StorageLevel.MEMORY_AND_DISK))
     return numbered.select(
         "pack_id", entry_id(F.col("kind"), F.col("value")).alias("id"), "value", "replacement", "kind", "level", "reason", "sources", F.lit(False).alias("manual"),
         F.lit(False).alias("match_case"), "pos",

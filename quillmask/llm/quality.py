@@ -151,35 +151,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_octets: i
     return train([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.quality for r in rows], dtype=np.int64), **options)
 
 
-def _scorer(shared):
+def _scorer(shared, text: str, inside: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            column = batch.column(batch.schema.names.index(inside or text))
+            texts = column.field(text) if inside else column
             out, some, size = [], [], 0
-            for t in texts:
-                some.append((t or "").encode("utf-8", "surrogatepass"))
-                size += len(some[-1])
-                if size >= 1 << 21:
-                    out.append(probability(net, pooled(net, tables, some)))
-                    some, size = [], 0
+            for a in range(0, len(texts), 512):
+                for t in texts.slice(a, 512).to_pylist():
+                    some.append(t.encode("utf-8", "surrogatepass") if t else b"")
+                    size += len(some[-1])
+                    if size >= 1 << 20:
+                        out.append(probability(net, pooled(net, tables, some)))
+                        some, size = [], 0
             if some:
                 out.append(probability(net, pooled(net, tables, some)))
             score = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
-            kept = list(range(batch.num_columns - 1))
+            kept = [i for i, n in enumerate(batch.schema.names) if inside or n != text]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [score], names=[batch.schema.names[i] for i in kept] + ["score"])
 
     return run
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with a ``score`` for every row."""
+def score(docs: DataFrame, net: Network, text: str = "text", inside: str | None = None) -> DataFrame:
+    """``docs`` without its text, with a ``score`` for every row.
+
+    Where the text is a field of the struct column ``inside``, that column stays whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some hundred kB, whatever the input
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
-    schema = T.StructType([f for f in docs.schema if f.name != text] + [T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(shared), schema)
+    schema = T.StructType([f for f in docs.schema if inside or f.name != text] + [T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_scorer(shared, text, inside), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

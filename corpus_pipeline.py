@@ -21,7 +21,7 @@ QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     net = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.select(F.struct("*").alias("row"), "text"), net)
+    scored = quality.score(docs.select(F.struct("*").alias("row")), net, inside="row")
     return scored.filter(F.col("score") >= QUALITY).select("row.*")
 
 

@@ -177,7 +177,7 @@ def _removals(doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, pos: np.ndarra
         first, n = _runs(doc)
         for a, k in zip(first.tolist(), n.tolist(), strict=True):
             d = doc[a]
-            out.append((int(keys[d]) % parts, ids[d : d + 1].tobytes(), keys[d : d + 1].tobytes(), b"", b"", b"", pos[a : a + k].tobytes()))
+            out.append(((int(ids[d]) * 0x9E3779B1 ^ int(keys[d])) % parts, ids[d : d + 1].tobytes(), keys[d : d + 1].tobytes(), b"", b"", b"", pos[a : a + k].tobytes()))
     return out
 
 

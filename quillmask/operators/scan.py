@@ -138,6 +138,7 @@ def split_label(value: str, kind: str) -> list[str]:
         return [value]
     if kind == "EMAIL":
         return _MAIL.findall(value) or [value]
+    value = " ".join(value.split())  # runs of spaces would cost the split their square
     cut = r"\s*/\s*|；|;|\s+and\s+" if kind in ("PERSON", "PERSON_OR_ORG") else r"\s*/\s*|；|;|,|\s+and\s+"
     return [c for c in map(clean, re.split(cut, value, flags=re.I)) if c]
 
@@ -153,7 +154,7 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 def labels(rows: list[tuple[int, str]]) -> Iterator[Found]:
     for pos, line in rows:
         s = re.sub(r"\A[-*]\s+", "", line.strip())
-        if not s or len(s) > 2000:
+        if not s:
             continue
         for i, (r, p) in enumerate(_labels()):
             m = p.match(s)

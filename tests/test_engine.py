@@ -181,3 +181,11 @@ def test_aliases_and_canonical_names(spark):
     rows = [("p", "PERSON", v, 1, i) for i, v in enumerate(("Mara Quill", "Ms Quill", "Quill", "Ann Lee", "Bo Lee", "Lee"))]
     mapped = {r.value: r.canonical for r in resolve.canonical_person(spark.createDataFrame(rows, "pack_id string, kind string, value string, level int, pos int")).collect()}
     assert mapped == {"Mara Quill": "Mara Quill", "Ms Quill": "Mara Quill", "Quill": "Mara Quill", "Ann Lee": "Ann Lee", "Bo Lee": "Bo Lee", "Lee": "Lee"}
+
+
+@pytest.mark.parametrize("label", ["To", "Cc", "Attention", "Client"])
+def test_labels_of_long_lines(label):
+    names = [f"Ann{chr(97 + i % 26)} Lee{chr(97 + i // 26)}" for i in range(400)]
+    line = f"{label}: {'; '.join(names)}"
+    assert len(line) > 2000
+    assert [f[3] for f in scan.labels(scan.lines_of(line))] == names

@@ -397,10 +397,10 @@ def other(text: str) -> Iterator[Found]:
     for m in re.finditer(r"\b[A-Z]{2,4}-\d{3}\b", text, re.A):
         if re.search(r"product\s+candidate|drug\s+candidate", text[max(0, m.start() - 40) : m.end() + 40], re.I):
             yield "BRAND", 2, "product-candidate code", m[0], m.start(), 2
-    lower = text.lower()
+    lower = text.replace("\u0130", "\0").lower()  # the one letter that lower case makes longer
     for i, city in enumerate(L.CITIES):
         at = lower.find(city.lower())
-        while at >= 0 and len(lower) == len(text):
+        while at >= 0:
             if not exchange(text[max(0, at - 24) : at + len(city) + 32]):
                 yield "LOCATION", 2, "common location", text[at : at + len(city)], at, 10 + i
             at = lower.find(city.lower(), at + len(city))

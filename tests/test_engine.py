@@ -189,3 +189,11 @@ def test_labels_of_long_lines(label):
     line = f"{label}: {'; '.join(names)}"
     assert len(line) > 2000
     assert [f[3] for f in scan.labels(scan.lines_of(line))] == names
+
+
+def test_cities_beside_a_dotted_capital_i(spark):
+    text = "Offices in \u0130zmir, london and New York."
+    found = [(f[3], f[4]) for f in scan.other(text) if f[2] == "common location"]
+    assert sorted(found) == [("New York", text.index("New York")), ("london", text.index("london"))]
+    sanitized = redact(detect.sample_pack(spark, [text]), level=2).documents.select("sanitized").first()[0]
+    assert "london" not in sanitized and "New York" not in sanitized

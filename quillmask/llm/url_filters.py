@@ -11,7 +11,8 @@ the bucket is part of the key.  So a host with a third of all captures is dealt
 buckets, and every capture meets only intervals of its own time.
 
 Kinds of values: ``host`` (this host), ``domain`` (this host and all below it) and ``path``
-(host and leading path segments, up to ``path_parts``).  An entry holds from its date on; of entries of one
+(host and leading path segments, as many as it has: captures get keys of the lengths that occur
+among the entries, which the driver collects).  An entry holds from its date on; of entries of one
 value and time, ``remove`` counts.  Repeated entries change nothing.  A null or odd URL, or a
 null time, matches nothing.  Captures that repeat an id are rows of their own.  Entries with a null are left out.
 """
@@ -29,8 +30,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.rtrim(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1), F.lit(".")))
 
 
-def url_keys(url: Column, path_parts: int = 3) -> Column:
-    """``array<struct<kind, value>>``: all values that would list ``url``."""
+def path_lengths(entries: DataFrame) -> list[int]:
+    """The distinct counts of path segments among the entries."""
+    lengths = entries.filter("kind = 'path'").select((F.size(F.split("value", "/")) - 1).alias("n")).filter("n > 0").distinct()
+    return sorted(r.n for r in lengths.collect())
+
+
+def url_keys(url: Column, lengths: list[int]) -> Column:
+    """``array<struct<kind, value>>``: all values that would list ``url``, its path cut at ``lengths``."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1), "/"), lambda p: p != "")
@@ -41,10 +48,8 @@ def url_keys(url: Column, path_parts: int = 3) -> Column:
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."))
     )
-    depth = F.least(F.size(parts), F.lit(path_parts))
-    paths = F.when(
-        depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: key("path", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
-    ).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size(parts))
+    paths = F.transform(cuts, lambda n: key("path", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))))
     return F.when(host != "", F.concat(F.array(key("host", host)), domains, paths)).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
@@ -61,7 +66,7 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
-def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64, path_parts: int = 3) -> DataFrame:
+def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64) -> DataFrame:
     """``capture_id, url, fetched_at, blocked, n_lists, n_matches, lists`` for every capture."""
     span = captures.agg(F.min("fetched_at").alias("lo"), F.max("fetched_at").alias("hi")).first()
     base = captures.select("capture_id", "url", "fetched_at")
@@ -78,7 +83,7 @@ def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64, path_part
         .filter((F.col("valid_from") <= hi) & (F.col("valid_to").isNull() | (F.col("valid_to") > lo)))
         .withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("valid_from", lo)), bucket(F.least(F.coalesce("valid_to", hi), hi)))))
     )
-    keys = base.select("capture_id", "url", "fetched_at", F.explode(url_keys(F.col("url"), path_parts)).alias("k"), bucket(F.col("fetched_at")).alias("bucket"))
+    keys = base.select("capture_id", "url", "fetched_at", F.explode(url_keys(F.col("url"), path_lengths(entries))).alias("k"), bucket(F.col("fetched_at")).alias("bucket"))
     keys = keys.select("capture_id", "url", "fetched_at", "k.kind", "k.value", "bucket")
     hits = keys.join(spans, ["kind", "value", "bucket"]).filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     found = hits.groupBy("capture_id", "url", "fetched_at").agg(F.collect_set("list").alias("lists"), F.countDistinct("list", "kind", "value").alias("n_matches"))

@@ -308,6 +308,16 @@ def test_url_lists(spark):
     assert url_filters.listed(c.limit(0), spark.createDataFrame([], "list string, kind string, value string, action string, dated timestamp")).count() == 0
 
 
+def test_url_lists_of_long_paths(spark):
+    from datetime import datetime as D
+
+    entries = [("deep", "path", "b.org/1/2/3/4/5", "add", D(2024, 1, 1)), ("flat", "path", "b.org/1", "add", D(2024, 1, 1)), ("none", "path", "b.org", "add", D(2024, 1, 1))]
+    urls = ["http://b.org/1/2/3/4/5/6?k", "http://b.org/1/2/3/4/5", "http://b.org/1/2/3/4/55", "http://b.org/2", "http://b.org"]
+    c = spark.createDataFrame([(i, u, D(2024, 1, 6)) for i, u in enumerate(urls)], "capture_id long, url string, fetched_at timestamp")
+    out = url_filters.listed(c, spark.createDataFrame(entries, "list string, kind string, value string, action string, dated timestamp"))
+    assert {r.capture_id: r.lists for r in out.collect()} == {0: "deep,flat", 1: "deep,flat", 2: "flat", 3: "", 4: ""}
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -20,6 +20,9 @@ importance would leave a page nothing, it does not apply to that page.
 Low nodes are broadcast if there are at most ``broadcast_nodes`` of them, a checked bound;
 beyond it they are joined with the pages by (host, node).
 
+Scripts, styles, frames, fields, titles and drawings have no text; a drawing or noscript part that
+nothing closes drops only its tag.  Formulas count as inline text, objects and templates as blocks.
+
 A null or empty page gives an empty text; a null or odd URL is the host "".  Rows that
 repeat a ``page_id`` and null ids are rows of their own.  Other columns are ignored.
 """
@@ -39,10 +42,16 @@ from pyspark.sql import functions as F
 from quillmask.llm._store import Workspace
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes".split())
+RAW = frozenset("script style noscript iframe svg textarea title xmp noembed noframes".split())
+#: Of these, the ones that run to the end of the page if nothing closes them.
+ENDLESS = RAW - {"noscript", "svg"}
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover"
+    " none semantics annotation annotation-xml".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp".split()
-)
+) | MATH
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -106,7 +115,7 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, s: str) -> None:
-        stack, opened = [0], Counter()
+        stack, opened, unclosed = [0], Counter(), set()
         events, tags = self.events, self.tag
 
         def close(upto: int) -> None:
@@ -164,9 +173,13 @@ class Page:
                 elif tag == "br" or tag == "p":
                     events.append((stack[-1], " ") if tag == "br" else (stack[-1], None))
                 continue
+            if (tag == "svg" or tag in MATH) and m[3].endswith("/"):
+                continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(s, at)
-                at = end.end() if end else n
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(s, at)
+                if not end:
+                    unclosed.add(tag)
+                at = end.end() if end else n if tag in ENDLESS else at
                 continue
             if tag in CLOSES_P and opened["p"] > 0:
                 k = find({"p"}, SCOPE)
@@ -178,9 +191,9 @@ class Page:
                     k = find(names, stop)
                     if k:
                         close(k)
-            if tag == "br":
+            if tag == "br" or tag in MATH:
                 events.append((stack[-1], " "))
-            elif tag in VOID:
+            if tag in VOID:
                 if tag == "hr":
                     events.append((stack[-1], None))
             else:

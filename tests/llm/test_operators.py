@@ -198,6 +198,18 @@ def test_main_text(spark):
         assert got[92].text == "a b\nc\nd\ntail < 3"
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<svg class=icon /><article><p>one</p></article>", "one"), ("<svg class='icon'/><p>one<svg><text>no</text></svg> two</p>", "one two"), ("<p>a<math/>b</p><p>c</p>", "ab\nc"),
+        ("<svg><p>one</p>", "one"), ("<noscript><p>one</p>", "one"), ("<div><object data=x><p>one</div><p>two", "one\ntwo"), ("<template><p>one</p><p>two", "one\ntwo"),
+        ("<p>so <math><msup><mi>x</mi><mn>2</mn></msup><mspace/><mo>=</mo><mn>4</mn></math>.</p>", "so x 2 = 4."), ("<p>one</p><script>no<p>no", "one"),
+    ],
+)
+def test_parts_without_an_end(source, want):
+    assert html_text.Page(source).text(frozenset()) == want
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, prose(rng, n, 300)) for i, n in enumerate((20, 35, 60, 8, 3, 0))] + [(9, None)]

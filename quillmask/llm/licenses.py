@@ -5,6 +5,10 @@ cut into paragraphs (lines), each paragraph with an anchor word into words, and
 one to three words that hold an anchor are scored by a sparse multinomial logistic
 regression.  A paragraph without an anchor has no feature and is ``none``.
 
+A notice may be wrapped over lines.  So two and three neighbouring lines, none blank, are scored
+as one paragraph too, and give a finding at their first line if it is confirmed and the
+family is not confirmed by fewer of the same lines.
+
 The model is fitted on the driver, from the notices below alone (a few hundred short
 texts): families against sentences that only talk of licences.  L1 shrinkage keeps it
 sparse; invented names make a class "unknown"; a temperature fitted on notices held out calibrates its probabilities.  Below
@@ -59,6 +63,7 @@ OTHERS = [
     "The ship sailed under a foreign license", "Apache helicopters landed at the base", "The Apache tribe lived in the region", "Mozilla announced a new browser", "The gnu is a large antelope",
     "He got permission from the teacher", "The court ruled on the copyright case", "A license fee is due each year", "Public domain films were shown all night", "cc the manager in your reply",
     "We compared permissive and copyleft licenses in this article", "The license of the pub was renewed", "Creative people met on the commons", "Rights reserved for members were discussed",
+    "Der Hund mit der Katze", "Ein Haus mit Garten", "Er kommt mit dem Zug", "mit freundlichen Grüßen", "Wir arbeiten mit den besten Leuten und mit Freude", "Sie sprach mit ihm", "Researchers at MIT built a robot", "She studied at MIT in Boston", "The MIT professor gave a talk", "MIT",
     "You need a license and registration", "The software license server is down", "Copyright infringement suits rose", "The council granted planning permission", "redistribution of wealth was the topic of the day",
 ]
 # Words one of which each feature holds.
@@ -66,7 +71,16 @@ ANCHORS = (
     "license licence licensed licensing licenses licences copyright copyrighted spdx permission warranty redistribute redistribution gnu gpl gplv2 gplv3 lgpl agpl apache bsd mpl mozilla isc"
     " unlicense cc cc0 creative expat affero sharealike noncommercial proprietary reserved domain unencumbered sublicense"
 ).split()
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+WORD = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+# Each family's first word of its identifiers is an anchor as well.
+ANCHORS += sorted({re.findall(WORD, i.lower())[0] for _, ids, _ in FAMILIES.values() for i in ids} - set(ANCHORS))
+# Statements of a family by a name that alone is too common a word, and their words that confirm it.
+SHORT = {
+    "MIT": (
+        ["Released under MIT.", "Licensed under MIT", "This project is released under MIT", "Available under the MIT terms", "MIT-licensed", "The code is MIT-licensed", "MIT licensed code", "License: MIT", "licensed under the MIT", "published under MIT"],
+        ["under MIT", "MIT licensed"],
+    )
+}
 _ANCHOR = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
 
 
@@ -79,7 +93,7 @@ def features_of(words: list[str]) -> set[str]:
     for k in (1, 2, 3):
         for i in range(len(words) - k + 1):
             gram = words[i : i + k]
-            if any(p in ANCHORS for w in gram for p in re.split(r"[.-]", w)):
+            if any(p in ANCHORS for w in gram for p in w.split(".")):
                 out.add(" ".join(gram))
     return out
 
@@ -105,6 +119,7 @@ def fit(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-4) -> Model:
     for c, (names, ids, line) in enumerate(FAMILIES.values()):
         rows += [(frame.format(name), c) for name in names for frame in FRAMES]
         rows += [(f"SPDX-License-Identifier: {i}", c) for i in ids for _ in range(3)] + [(line, c)] * 4
+    rows += [(t, list(FAMILIES).index(family)) for family, (texts, _) in SHORT.items() for t in texts for _ in range(3)]
     rows += [(frame.format(name), len(classes) - 2) for name in STRANGE for frame in FRAMES]
     rows += [(t, len(classes) - 1) for t in OTHERS for _ in range(3)]
     held = [i for i in range(len(rows)) if i % 5 == 3]
@@ -140,7 +155,8 @@ def templates() -> list[tuple[str, list[str]]]:
     out = []
     for family, (names, ids, line) in FAMILIES.items():
         out += [(family, sorted(set(words_of(n)))) for n in names]
-        out += [(family, sorted({"spdx-license-identifier", *words_of(i)})) for i in ids] + [(family, sorted(set(words_of(line))))]
+        out += [(family, sorted(set(words_of(f"SPDX-License-Identifier: {i}")))) for i in ids] + [(family, sorted(set(words_of(line))))]
+        out += [(family, sorted(set(words_of(n)))) for n in SHORT.get(family, ([], []))[1]]
     return out
 
 
@@ -157,10 +173,6 @@ def paragraph_licenses(text: Column, model: Model, least: float, overlap: float)
     vocabulary = F.array(*[F.lit(f) for f in model.weights])
     weights = F.create_map(*[x for f, v in model.weights.items() for x in (F.lit(f), F.array(*[F.lit(a) for a in v]))])
     names = F.array(*[F.lit(c) for c in model.classes])
-    parts = F.split(text, "\r?\n", -1)
-    numbered = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"))), lambda s: s["p"].rlike(_ANCHOR))
-    worded = F.transform(numbered, lambda s: F.struct(s["paragraph"], F.regexp_extract_all(_ascii_lower(s["p"]), F.lit(WORD), F.lit(0)).alias("w")))
-
     def grams(w: Column, k: int) -> Column:
         n = F.size(w) - (k - 1)
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
@@ -185,8 +197,36 @@ def paragraph_licenses(text: Column, model: Model, least: float, overlap: float)
         best = F.coalesce(F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t["w"], s["w"])) / F.size(t["w"]))), F.lit(0.0))
         return F.struct(s["paragraph"], s["family"], s["probability"], F.round(best, 6).alias("overlap"), (best >= overlap).alias("confirmed"))
 
-    chosen = F.filter(F.transform(F.transform(worded, probable), decided), lambda s: s["family"] != NONE)
-    return F.when(text.rlike(_ANCHOR), F.transform(chosen, compared)).otherwise(F.array().cast(FOUND)).cast(FOUND)
+    def classified(numbered: Column) -> Column:
+        worded = F.transform(numbered, lambda s: F.struct(s["paragraph"], F.regexp_extract_all(_ascii_lower(s["p"]), F.lit(WORD), F.lit(0)).alias("w")))
+        return F.transform(F.filter(F.transform(F.transform(worded, probable), decided), lambda s: s["family"] != NONE), compared).cast(FOUND)
+
+    def joined(lines: Column, k: int) -> Column:
+        n = F.size(lines) - (k - 1)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+        good = F.filter(starts, lambda i: F.exists(F.slice(lines, i + 1, k), lambda s: s["a"]) & ~F.exists(F.slice(lines, i + 1, k), lambda s: s["p"].rlike(r"^\s*$")))
+        return F.transform(good, lambda i: F.struct(i.alias("paragraph"), F.array_join(F.transform(F.slice(lines, i + 1, k), lambda s: s["p"]), " ").alias("p")))
+
+    def confirmed_only(found: Column) -> Column:
+        return F.filter(found, lambda s: s["confirmed"])
+
+    def new(found: Column, before: Column, k: int) -> Column:
+        """Findings of ``k`` lines, without what is confirmed by fewer of them."""
+        fewer = lambda s: F.exists(before, lambda x: (x["of"] == s["family"]) & (x["lo"] >= s["paragraph"]) & (x["hi"] < s["paragraph"] + k))
+        return F.filter(confirmed_only(found), lambda s: ~fewer(s))
+
+    def places(found: Column, k: int) -> Column:
+        return F.transform(confirmed_only(found), lambda s: F.struct(s["family"].alias("of"), s["paragraph"].alias("lo"), (s["paragraph"] + k - 1).alias("hi")))
+
+    def all_found(s: Column) -> Column:
+        pairs = new(s["two"], places(s["one"], 1), 2)
+        triples = new(s["three"], F.concat(places(s["one"], 1), places(s["two"], 2)), 3)
+        return F.array_sort(F.concat(s["one"], pairs, triples))
+
+    parts = F.transform(F.split(text, "\r?\n", -1), lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"), p.rlike(_ANCHOR).alias("a")))
+    # An array of one element binds its value, which each use would compute anew.
+    each = F.transform(F.array(parts), lambda x: F.struct(classified(F.filter(x, lambda s: s["a"])).alias("one"), classified(joined(x, 2)).alias("two"), classified(joined(x, 3)).alias("three")))
+    return F.when(text.rlike(_ANCHOR), F.element_at(F.transform(each, all_found), 1)).otherwise(F.array().cast(FOUND)).cast(FOUND)
 
 
 def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, overlap: float = 0.75) -> DataFrame:

@@ -301,6 +301,18 @@ def test_licenses(spark):
                 assert f"{p}:{model.classes[q.argmax()]}:{q.max():.3f}" in got[i].findings
 
 
+def test_licenses_by_short_names_and_over_lines(spark):
+    texts = [
+        "Released under MIT.", "This code is MIT-licensed.", "x\nLicensed under the Apache\nLicense, Version 2.0", "Mozilla\nPublic\nLicense", "under the terms of the GNU\n\nAffero General Public License",
+        "Der Hund kam mit der Katze", "MIT License\nmore", "See the Apache\n\nLicense, Version 2.0", "Er wohnt hier mit zwei Freunden",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(df)).collect()}
+    assert [got[i].families for i in range(4)] == ["MIT", "MIT", "Apache", "MPL"]
+    assert [got[i].families for i in (5, 6, 8)] == ["", "MIT", ""] and got[5].n_found == got[8].n_found == 0
+    assert got[6].n_confirmed == 1 and got[2].n_confirmed == 1 and got[7].n_confirmed <= 1
+
+
 def test_url_lists(spark):
     from datetime import datetime as D
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from quillmask.llm import queries
 
@@ -37,3 +39,16 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept[3]
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_pairs_are_seldom_missed(monkeypatch):
+    class Called(Exception):
+        pass
+
+    def near(docs, shingle=5, num=80, den=100, bands=36, rows=7):
+        raise Called((1 - (num / den) ** rows) ** bands)
+
+    monkeypatch.setattr(corpus_pipeline.near_dedup, "near_duplicates", near)
+    with pytest.raises(Called) as missed:
+        corpus_pipeline.drop_near(None, None, "")
+    assert missed.value.args[0] < 1e-4

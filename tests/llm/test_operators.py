@@ -99,17 +99,38 @@ def test_exact_duplicates(docs):
     for i, t in texts:
         same.setdefault(t, []).append(i)
     want = sorted((i, max(same[t]), len(same[t]), i == max(same[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
-    assert sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=3, start_depth=1).collect())) == want
+    for options in ({}, {"hash_bits": 3, "hot_rows": 4}, {"hot_rows": 1, "broadcast_cells": 0}):
+        got = sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=16, start_depth=1, **options).collect()))
+        assert got == want, options
 
 
-def test_directory_splits_overfull_buckets(spark, tmp_path):
+def test_exact_duplicates_without_ids(spark):
+    rows = [(None, "A"), (3, "a"), (None, "b"), (None, "B"), (3, "c"), (3, "C"), (4, None), (5, "")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [
+        (0, 0, 2, True), (0, 0, 2, True), (0, 3, 2, False), (3, 3, 2, True), (3, 3, 2, True), (3, 3, 2, True), (4, 5, 2, False), (5, 5, 2, True)
+    ]
+
+
+def test_exact_duplicates_need_the_directory(docs, monkeypatch):
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: whole(*a).filter("bucket % 2 = 0"))
+    df, rows = docs
+    assert 0 < exact_dedup.exact_duplicates(df, capacity=40, start_depth=2).count() < len(rows)
+
+
+@pytest.mark.parametrize("cell_bits", [2, 5, 12])
+def test_directory_splits_overfull_buckets(spark, cell_bits):
     from quillmask.llm._store import Workspace
 
-    entries = spark.range(1000).select(F.xxhash64("id").alias("hash"))
-    leaves = exact_dedup.directory(entries, 50, 2, 40, Workspace(spark, "t")).collect()
-    assert sum(r.entries for r in leaves) == 1000
-    assert all(r.entries <= 50 for r in leaves)
-    assert abs(sum(2.0**-r.depth for r in leaves) - 1) < 0.3
+    counted = spark.range(1000).select(F.xxhash64("id").alias("hash"), F.lit(2).alias("rows"))
+    leaves = exact_dedup.directory(counted, 100, 2, cell_bits, 40, Workspace(spark, "t"))
+    placed = exact_dedup._placed(counted, leaves, True)
+    sizes = placed.groupBy("bucket", "depth").agg(F.sum("rows").alias("rows")).collect()
+    assert sum(r.rows for r in sizes) == 2000 and all(r.rows <= 100 for r in sizes)
+    assert sum(2.0**-r.depth for r in sizes) == 1.0
+    deep = exact_dedup.directory(spark.range(9).select((F.col("id") % 2).alias("hash"), F.lit(9).alias("rows")), 5, 1, 4, 6, Workspace(spark, "t"))
+    assert {(r.bucket, r.depth) for r in deep.collect()} == {(0, 6)}
 
 
 def test_windows(docs):

@@ -231,6 +231,77 @@ def test_parts_without_an_end(source, want):
     assert html_text.Page(source).text(frozenset()) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<div class="main-content with-sidebar"><p>main text</p></div>', "main text"),
+        ('<article><p>a<div class="notice-of-award">b</div><div class="search-results">c</div><section class="header">d</section></article>', "a\nb\nc\nd"),
+        ('<article><p>the article</article><div id="comments"><article class="comment">no</article></div><aside class="related"><article>no</article></aside><header><h1>no</h1></header>', "the article"),
+        ("<p>&l<b>t</b>; x &lt;</p><xmp><b>&amp;</b></xmp>y", "&lt; x <\n<b>&amp;</b>\ny"),
+        ('<form><article>a long one</article><p>x</form><p data-class="ad">k', "a long one\nx\nk"),
+        ('<body class="nav-open sidebar"><div class="site-footer">no</div><div class="ad">no</div><div class="left-sidebar nav">no</div><div class="cookie-notice">no</div><p>t', "t"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<p>" + "long &amp; " * 100_000, ("long & " * 100_000).strip()),
+    ],
+)
+def test_noise_by_name(source, want):
+    assert html_text.Page(source).text(frozenset()) == want
+
+
+def boilerplate_pages(n):
+    """Pages of one host: three menus, four adverts and one footer around articles of their own; two pages hold the same article."""
+    rng = random.Random(5)
+    for i in range(n):
+        body = "".join(f"<p>{prose(rng, 30, 5000)}</p>" for _ in range(4 + i % 3)) if i != 1 else body  # noqa: F821
+        yield i, "https://h.example/x", f"<div><ul><li>menu {'abc'[i % 3]}<li>home</ul></div><table><tr><td>buy {'wxyz'[i * 7 % 4]}</table><section>{body}</section><pre>made by us</pre>", "e"
+
+
+def test_style_tree_alone_finds_boilerplate(spark):
+    pages = list(boilerplate_pages(24))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in html_text.main_text(df, names=False).collect()}
+    assert all(re.findall("<p>(.*?)</p>", h) == got[i].split("\n") for i, _, h, _ in pages)
+    few = {r.page_id: r.text for r in html_text.main_text(df, names=False, min_pages=25).collect()}
+    assert all("made by us" in t and "menu" in t for t in few.values())
+
+
+def test_style_tree_removes_menus_of_the_given_pages(spark):
+    """Without any name, at the threshold that articles of these pages never fall below."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("html like '%<article>%'")
+    host = F.regexp_extract("url", "://([^/:]+)", 1)
+    busy = pages.groupBy(host.alias("h")).count().filter("count >= 50").select("h")
+    pages = pages.join(busy, host == F.col("h"), "left_semi")
+    want = {r.page_id: html_text.Page(re.search("<article>.*</article>", r.html, re.S)[0]).text(frozenset()) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.main_text(pages, threshold=0.86, names=False).collect()}
+    assert len(want) > 500 and sum(got[i] == t for i, t in want.items()) >= 0.9 * len(want)
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == want
+
+
+def test_style_importance_against_plain(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    pages = list(boilerplate_pages(12)) + [(50, "https://h.example/y", "<div>9 one<div>two</div></div><div>3 one</div>", "e")] * 2
+    styles, texts, below = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for _, _, h, _ in pages:
+        own, some, pairs = html_text.Page(h).nodes()
+        for k, v in own.items():
+            styles[k][v] += 1
+        for k, v in some:
+            texts[k][v] += 1
+        for up, k in pairs:
+            below[up].add(k)
+    want = {}
+    for k, c in styles.items():
+        m = sum(c.values())
+        look = -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m) if m > 1 else 1.0
+        spread = [math.log(n) / math.log(sum(styles[b].values())) if sum(styles[b].values()) > 1 else 0 for b in below[k] for n in texts[b].values()]
+        want[html_text._signed(k)] = (m, 0.1 * look + 0.9 * (1 - sum(spread) / len(spread)))
+    df = spark.createDataFrame([("h", h) for _, _, h, _ in pages], "host string, html string")
+    got = {r.node: (r.pages, r.importance) for r in html_text.style_importance(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, prose(rng, n, 300)) for i, n in enumerate((20, 35, 60, 8, 3, 0))] + [(9, None)]

@@ -161,6 +161,8 @@ def test_personal_data(spark):
     texts = [
         None, "", "mail a.b@c.example, x_d@e.fr.g. IP 1.2.3.4.5 and 300.1.2.3.4, 010.0.0.255", "a@b.c_d@e.f", "card 4111 1111 1111 1111 or 4111-1111-1111-1112; +1 (212) 555-0100 and +12 3",
         "IBAN GB82WEST12345698765432, GB82WEST12345698765433; my ssn is 123-45-6789 but 987-65-4321 " + "far " * 20 + "123-45-6780", "é" * 10 + " a@b.co é 1.1.1.1", "1 " * 3000, "@" * 2000 + "a" * 3000 + "@b", "+" * 500,
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "digest 04dbebab91ab85687d33eeaaf9ac699e1188f962", "a fake token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "key 04dbebab91ab85687d33eeaaf9ac699e1188f96g",
+        "é a.b@c.example " * 3000, "host 1.2.3.4 " + "far " * 12 + "dummy a@b.co",
     ]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, email string")
     got = {r.doc_id: r for r in pii.digest(pii.personal_data(df)).collect()}
@@ -179,6 +181,9 @@ def test_personal_data(spark):
         assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), (i, got[i].spans, spans)
         assert set(spans) <= set(got[i].spans.split(","))
     assert "iban:5:27" in got[5].spans and got[5].spans.count("iban") == 1 and got[5].spans.count("ssn") == 2
+    assert [got[i].spans.split(",")[-1].split(":")[0] for i in (10, 11, 12, 13)] == ["secret", "", "", ""] and got[10].scores == "0.6"
+    assert got[14].n_spans == got[14].n_email == 3000 and set(got[14].scores.split(",")) == {"0.8"}
+    assert got[15].scores == "0.5,0.8" and all(r.n_spans == len([x for x in r.scores.split(",") if x]) for r in got.values())
     assert queries.QUERIES["op7_pii"]
 
 

@@ -8,7 +8,10 @@ each leading part of its path; an interval matches a capture of equal key that w
 in it.  The as-of join is an equi-join: the time between the first and last capture is cut into
 at most ``buckets`` buckets, an interval has a row in each bucket it touches, and
 the bucket is part of the key.  So a host with a third of all captures is dealt over the
-buckets, and every capture meets only intervals of its own time.
+buckets, and every capture meets only intervals of its own time.  Where one bucket of a value still has more
+than ``hot_rows`` captures (and more than a 100,000th of all keys, so there are fewer than 100,000 such places, which are
+broadcast), as after a bulk crawl or with one odd date that makes the buckets wide, its captures are dealt over
+parts by their hash, and its intervals have a row in each part.
 
 Kinds of values: ``host`` (this host), ``domain`` (this host and all below it) and ``path``
 (host and leading path segments, as many as it has: captures get keys of the lengths that occur
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmask.llm._store import Workspace
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -66,7 +71,7 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
-def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64) -> DataFrame:
+def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64, hot_rows: int = 50_000) -> DataFrame:
     """``capture_id, url, fetched_at, blocked, n_lists, n_matches, lists`` for every capture."""
     span = captures.agg(F.min("fetched_at").alias("lo"), F.max("fetched_at").alias("hi")).first()
     base = captures.select("capture_id", "url", "fetched_at")
@@ -85,7 +90,14 @@ def listed(captures: DataFrame, entries: DataFrame, buckets: int = 64) -> DataFr
     )
     keys = base.select("capture_id", "url", "fetched_at", F.explode(url_keys(F.col("url"), path_lengths(entries))).alias("k"), bucket(F.col("fetched_at")).alias("bucket"))
     keys = keys.select("capture_id", "url", "fetched_at", "k.kind", "k.value", "bucket")
-    hits = keys.join(spans, ["kind", "value", "bucket"]).filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
+    work = Workspace(captures.sparkSession, "urls")
+    counts = work.settle(keys.groupBy("kind", "value", "bucket").agg(F.count("*").alias("n")), "counts")
+    limit = max(hot_rows, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select("kind", "value", "bucket", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    place = ["kind", "value", "bucket"]
+    keys = keys.join(hot, place, "left").withColumn("part", F.pmod(F.xxhash64("capture_id", "url", "fetched_at"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spans = spans.join(hot, place, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hits = keys.join(spans, [*place, "part"]).filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     found = hits.groupBy("capture_id", "url", "fetched_at").agg(F.collect_set("list").alias("lists"), F.countDistinct("list", "kind", "value").alias("n_matches"))
     joined = base.join(found, ["capture_id", "url", "fetched_at"], "left")
     return joined.select(

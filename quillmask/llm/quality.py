@@ -9,7 +9,8 @@ Filters are tables: the response at a byte is the sum of one entry for each of t
 ``span`` bytes.  For scoring, entries of two neighbouring bytes are summed beforehand.
 
 The network is trained on the driver by Adagrad on a bounded sample of labelled rows:
-``sample`` rows of the least hash of their id, with texts up to ``sample_octets``; rows
+``sample`` labels of the least hash of their id, each with the text of that id of the least hash
+among those up to ``sample_octets`` (so the driver gets ``sample * sample_octets`` bytes at most); rows
 that are held out (crc32 of the id as text, mod 4, is 2) are never read for it.  Labels,
 language, source and id are no inputs of a score.  Without labels of both kinds the
 score is the share of label 1, or 0.5.
@@ -141,13 +142,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_octets: int = 100_000, **options) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_octets: int = 40_000, **options) -> Network:
     """Trains on at most ``sample`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_octets)
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text))[: 2 * sample]
+    pick = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")  # one text of an id that is repeated
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(pick).select("doc_id", "t.text", "quality").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.quality))
     return train([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.quality for r in rows], dtype=np.int64), **options)
 
 

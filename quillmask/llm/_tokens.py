@@ -7,7 +7,7 @@ is made for:
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
 and only those not seen before go to the tokenizer.  Texts with characters that were
-not assigned alike in an early and in the present Unicode version go there whole.
+not assigned alike in an early and in the present Unicode version, or with the content of a special token, go there whole.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self.known: dict[int, bytes] = {}
         self.kind = _classes()
@@ -106,7 +106,8 @@ class TokenIds:
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         kind = self.kind[cps]
         stop = np.cumsum([len(t) + 1 for t in texts]) - 1
-        unsure = K.distinct(np.searchsorted(stop, np.flatnonzero(kind == UNSURE)))
+        special = [d for d, t in enumerate(texts) if any(c in t for c in self.special)]
+        unsure = K.distinct(np.append(np.searchsorted(stop, np.flatnonzero(kind == UNSURE)), special).astype(np.int64))
         kind[stop] = BREAK
         starts = self._starts(cps, kind)
         p, inv = K._upto(len(cps))

@@ -6,7 +6,8 @@
    driver.  Shallow combinations of two or three lengths that fill a window are
    enumerated, and how often to repeat each is solved against the histogram by
    non-negative least squares (coordinate descent).
-3. Documents are dealt by hash to shards of about ``shard_docs``.  A shard rounds its
+3. Documents are dealt by a hash of their id, rest and row number to shards of about ``shard_docs``, so rows
+   that are alike do not share one.  A shard rounds its
    share of the repeats, bounded by the lengths it has, and fills windows so.
 4. What is left packs greedily: longest first, then the longest that still fits; where
    none fits, one is cut to fill the window.  A shard's last, unfilled window is cut
@@ -15,18 +16,20 @@
 Each id lies in exactly one piece, and no window of ``window`` ids has padding.
 
 A null text counts as empty and has the closing id alone.  Repeated rows and null ids
-are rows of their own.  Ties of length are broken by the order of ``doc_id`` and tail.
+are rows of their own.  Ties of length are broken by the order of ``doc_id``, tail and row number.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import warnings
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ def _maker(path: str):
 def _cutter(path: str, window: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _maker(path)
+        part, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             keys = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -62,11 +66,12 @@ def _cutter(path: str, window: int, closing: int):
                 blobs = [r.astype("<u4").tobytes() if wide else r.tobytes() for r in rest]
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(a, k), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array([4 if wide else 2] * k, pa.int32())],
-                    names=["doc_id", "doc_tokens", "full", "rest", "width"],
+                    [keys.slice(a, k), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array([4 if wide else 2] * k, pa.int32()), pa.array(range(part + row, part + row + k), pa.int64())],
+                    names=["doc_id", "doc_tokens", "full", "rest", "width", "row"],
                 )
+                row += k
 
-    return run, "doc_id long, doc_tokens long, full array<long>, rest binary, width int"
+    return run, "doc_id long, doc_tokens long, full array<long>, rest binary, width int, row long"
 
 
 def combinations(window: int) -> np.ndarray:
@@ -77,26 +82,31 @@ def combinations(window: int) -> np.ndarray:
     return np.stack([a[good], b[good], c[good]], axis=1)
 
 
-def solve_repeats(counts: np.ndarray, combos: np.ndarray, steps: int = 3000) -> np.ndarray:
+def solve_repeats(counts: np.ndarray, combos: np.ndarray, steps: int = 20_000) -> np.ndarray:
     """x >= 0 that makes ``sum(x * lengths of combos)`` close to ``counts`` by least squares.
 
     Coordinate descent that always moves the steepest coordinate (Gauss-Southwell),
-    never below zero; it ends in a sparse x.
+    never below zero; it ends in a sparse x, when no move is a quarter window or a millionth of
+    all rests.  Should ``steps`` end first, it warns; the greedy part packs what is left either way.
     """
     left = np.append(counts.astype(float), 0.0)  # the last place stands for "no third length"
     at = np.where(combos > 0, combos, len(counts))
     norm = np.array([sum(row.count(n) ** 2 for n in set(row) if n) for row in combos.tolist()], dtype=float)
     x = np.zeros(len(combos))
+    least = max(0.25, 1e-6 * counts.sum())
     for _ in range(steps if len(combos) else 0):
         slope = left[at].sum(axis=1) / norm
         slope = np.maximum(slope, -x)
         k = int(np.argmax(np.abs(slope) * np.sqrt(norm)))
         move = slope[k]
-        if abs(move) < 0.25:
+        if abs(move) < least:
             break
         x[k] += move
         np.subtract.at(left, at[k], move)
         left[-1] = 0.0
+    else:
+        if len(combos):
+            warnings.warn(f"the repeats of combinations have not settled after {steps} steps", stacklevel=2)
     return x
 
 
@@ -176,7 +186,7 @@ class _Shard:
 
 def _packer(window: int, combos: np.ndarray, share: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("rest", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("rest", "ascending"), ("row", "ascending")])
         shard = table.column("shard")[0].as_py()
         ids, tokens = table.column("doc_id").to_pylist(), table.column("doc_tokens").to_pylist()
         full, rest, width = (table.column(c).to_pylist() for c in ("full", "rest", "width"))
@@ -219,5 +229,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, closing: int = 0,
     order = order[: int((x > 0).sum())]
     shards = max(1, -(-total // shard_docs))
     run, schema = _packer(window, combos[order], x[order] / max(1, total))
-    dealt = cutted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rest"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    dealt = cutted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rest", "row"), F.lit(shards)))
+    return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(run, schema)

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared working folder: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (a local test session) gets a folder
-    of its own, which is then kept in the session for later calls.
+    Only a local session (as in tests) without that setting gets a folder of its own, which is
+    then kept in the session for later calls; on a cluster no executor would find it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.quillmask.workDir", None)
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmask-")
         spark.conf.set("spark.quillmask.workDir", root)
     return root.rstrip("/")

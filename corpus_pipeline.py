@@ -1,8 +1,9 @@
 """Corpus preparation: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept;
-all but the last return the columns of ``docs``.  A row without an id cannot be named by
-the later stages and goes with the exact copies.
+all but the last return the columns of ``docs``.  A row goes only if a stage says so of its id (and, for
+exact copies, its text): rows without an id lose exact copies and low quality, and pass the other stages.
+Rows of one id with different texts are judged each by its own text among exact copies, else together.
 """
 
 from __future__ import annotations
@@ -29,21 +30,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of equal texts: of rows of one id and text, one stays."""
+    kept = exact_dedup.exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_text")).agg(F.count("*").alias("k_rows"))
+    kept = Workspace(spark, "exact-kept").settle(kept, "kept")
+    digest = F.sha2(exact_dedup.ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d_id"), digest.alias("d_text"))
+    same = F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_text") == F.col("k_text"))
+    found = rows.join(kept.filter("k_rows = 1"), same, "left_semi")
+    if kept.filter("k_rows > 1").take(1):
+        found = found.unionByName(rows.join(kept.filter("k_rows > 1"), same, "left_semi").dropDuplicates(["d_id", "d_text"]))
+    return found.select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    kept = near_dedup.near_duplicates(docs, bands=NEAR_BANDS).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = near_dedup.near_duplicates(docs, bands=NEAR_BANDS).filter("not kept").select(F.col("doc_id").alias("g_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("g_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    found = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("g_id")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("g_id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

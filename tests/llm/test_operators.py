@@ -61,10 +61,10 @@ def groups(n, links):
     return {i: find(i) for i in n}
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
-def test_near_duplicates(docs, k, num):
+@pytest.mark.parametrize(("k", "num", "options"), [(3, 85, {}), (5, 80, {"stars": 0, "block_docs": 4, "hot_rows": 1}), (3, 85, {"stars": 1, "block_docs": 6})])
+def test_near_duplicates(docs, k, num, options):
     df, rows = docs
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, k, num, 100, block_docs=4).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, k, num, 100, **options).collect()}
     sets = {}
     for i, t, *_ in rows:
         w = (t or "").encode().lower().split()
@@ -77,6 +77,45 @@ def test_near_duplicates(docs, k, num):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == want[i]) for i, r in got.items())
 
 
+@pytest.mark.parametrize(("num", "bands", "least"), [(85, 36, 0.9995), (80, 36, 0.998), (80, 40, 0.998)])
+def test_near_candidates_are_found(num, bands, least):
+    """Share of pairs right at the threshold that share a bucket, at several set sizes."""
+    rng = np.random.default_rng(num)
+    rows, probes = 7, near_dedup._probe_table(bands * 7, 4096)
+    met = pairs = 0
+    for n in (20, 60, 300, 3000):
+        both = -(-num * n // 100)
+        for _ in range(400 if n < 3000 else 100):
+            pool = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = pool[: both + (n - both) // 2], np.concatenate([pool[:both], pool[both + (n - both) // 2 :]])
+            x, y = (near_dedup.one_permutation(np.sort(v), bands * rows, probes).reshape(bands, rows) for v in (a, b))
+            pairs, met = pairs + 1, met + bool((x == y).all(axis=1).any())
+    assert met >= least * pairs
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, b), (5, None), (5, "  "), (None, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True)]
+
+
+def test_large_family_is_joined_by_stars(spark, monkeypatch):
+    """Some hundred near copies of one text need no comparison of blocks."""
+    rng = random.Random(9)
+    base = prose(rng, 300, 10_000).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(300)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "_compare_blocks", None)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 300
+
+
 def test_link_blocks_agree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(12)]

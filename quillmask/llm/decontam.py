@@ -6,19 +6,20 @@ Edit Distance in the Low Distance Regime" (2016); Zhang and Zhang, "EmbedJoin" (
 Texts are words, ASCII-lower-cased.  An item of n words is in a document if some run of
 words there is within ``floor((1 - similarity) * n)`` word edits of it.
 
-1. q-gram lemma: such a run shares at least n - 1 - 2 * edits word pairs with the item,
-   so a window of n words and the edits must hold so many pairs of all items, then of
-   that item.  This loses nothing and leaves few windows.
-2. Item-sized windows that are left go through CGK random walks, which map edit distance
-   to Hamming distance; keys of ``bits`` sampled places, ``repeats`` times, are
-   compared with the item's.  At half of the places equal a window is missed
-   with probability (1 - 0.5 ** bits) ** repeats, about 1e-4 at the defaults.
-3. Windows and items of equal keys are confirmed by exact edit distance.
-
-Items are broadcast in blocks of at most ``block_octets`` of text, one pass over the
-documents for each block, whose number is taken from the items' size.
-
-Items of fewer than ``min_words`` words (null and empty ones too) are not searched.
+1. q-gram lemma: such a run shares at least n - 1 - 2 * edits word pairs with the item, so a window
+   of n words and the edits must hold so many pairs of items of n words.  This loses nothing and
+   passes over most text; it does not say which item a window may hold.
+2. Item-sized windows that are left go through CGK random walks, which map edit distance to Hamming
+   distance.  ``repeats`` times, ``bits`` places of a walk are sampled for a key; windows and items of equal
+   length and key share a bucket of a locality-sensitive hash table.  At half of the places equal, one key is equal
+   with probability 0.5 ** bits.  Keys of one walk are not independent, so recall is measured: see the tests.
+3. Windows and items of one bucket are confirmed by exact edit distance.
+
+Items are broadcast in blocks of at most ``block_octets`` of text, one pass over the documents for each block,
+whose number follows from the items' size; a block's findings are written before the next block is sent.
+
+An item of fewer than ``min_words`` words is too short to search for: any text on its subject has it.  It is found
+where it is the whole text of a document.  Null and empty items are found nowhere.
 Null and empty documents hold nothing.  A row per document and item: with rows that
 repeat a ``doc_id`` the pair with the least distance, then the earliest start.  Items
 of one text give a pair each.  Null ids of either side are left out.  Other columns are
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm import _kernels as K
+from quillmask.llm._store import Workspace
 
 U = np.uint64
 PAD = U(0x13198A2E03707344)
@@ -88,38 +90,36 @@ class Items:
     """Searchable items of one block."""
 
     def __init__(self, rows: list[tuple[int, bytes]], similarity: float, min_words: int, bits: int, repeats: int):
-        self.bits, self.repeats = bits, repeats
+        self.bits, self.repeats, self.min_words = bits, repeats, min_words
         by_words: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
         if rows:
             w = K.Words([t for _, t in rows], lower=True)
             for (i, _), a, b in zip(rows, w.first[:-1], w.first[1:], strict=True):
-                if b - a >= min_words:
-                    by_words[tuple(w.hash[a:b].tolist())].append(i)
+                if b > a:
+                    (by_words if b - a >= min_words else self.short)[tuple(w.hash[a:b].tolist())].append(i)
         self.words = list(by_words)
         self.ids = [sorted(set(v)) for v in by_words.values()]
         self.size = np.array([len(x) for x in self.words], dtype=np.int64)
-        self.edits = ((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        self.need = np.maximum(1, self.size - 1 - 2 * self.edits)
+        self.lengths = np.unique(self.size)
+        self.edits = ((1 - similarity) * self.lengths + 1e-9).astype(np.int64)
+        self.need = np.maximum(1, self.lengths - 1 - 2 * self.edits)
         own = [K.distinct(K.windows(np.array(x, dtype=U), 2)) for x in self.words]
         values = np.concatenate(own) if own else np.empty(0, dtype=U)
-        items = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        order = np.argsort(values, kind="stable")
         self.pairs = K.distinct(values)
-        self.holders = items[order]  # items of pair p: holders[at[p]:at[p + 1]]
-        self.at = np.append(np.searchsorted(values[order], self.pairs), len(values))
+        #: Which pairs the items of each length have.
+        self.has = np.zeros((len(self.lengths), len(self.pairs)), dtype=bool)
+        if own:
+            self.has[np.searchsorted(self.lengths, np.repeat(self.size, [len(x) for x in own])), np.searchsorted(self.pairs, values)] = True
         self.bitmap = np.zeros(1 << 22, dtype=bool)
         self.bitmap[(self.pairs >> U(42)).astype(np.int64)] = True
-        self.signature = {}
-        for n in set(self.size.tolist()):
+        #: Of each length the buckets: keys in order, and the item of each.
+        self.buckets: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in self.lengths.tolist():
             same = np.flatnonzero(self.size == n)
-            for k, row in zip(same.tolist(), self.keys(np.array([self.words[k] for k in same.tolist()], dtype=U)), strict=True):
-                self.signature[k] = row
-        self.classes: list[list[int]] = []
-        for n in sorted(set(self.size.tolist())):
-            if self.classes and n <= 1.25 * self.classes[-1][0]:
-                self.classes[-1].append(n)
-            else:
-                self.classes.append([n])
+            keys = self.keys(np.array([self.words[k] for k in same.tolist()], dtype=U))
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.buckets.append((keys.ravel()[order], np.repeat(same, keys.shape[1])[order]))
 
     def keys(self, seqs: np.ndarray, walks: int = 8) -> np.ndarray:
         """(m, repeats) keys of windows of one length."""
@@ -137,100 +137,75 @@ class Items:
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """``(text, item id, first word, words, distance)``, at most one for each text and item."""
-        if not self.words:
+        if not self.words and not self.short:
             return
         w = K.Words(texts, lower=True)
-        total = len(w.hash)
-        if total < 2:
+        if self.short:
+            for d in np.flatnonzero(np.diff(w.first) < self.min_words).tolist():
+                words = w.hash[w.first[d] : w.first[d + 1]]
+                for i in sorted(set(self.short.get(tuple(words.tolist()), ()))):
+                    yield d, i, 0, len(words), 0
+        if len(w.hash) < 2 or not self.words:
             return
         pair = K.windows(w.hash, 2)
         hit = np.flatnonzero(self.bitmap[(pair >> U(42)).astype(np.int64)])
         which = np.minimum(np.searchsorted(self.pairs, pair[hit]), len(self.pairs) - 1)
         true = self.pairs[which] == pair[hit]
-        inner = np.ones(total, dtype=bool)
-        inner[w.first[1:][w.first[1:] > 0] - 1] = False  # no pair across two texts
-        true &= inner[hit]
-        hit, which = hit[true], which[true]
-        flag = np.zeros(total + 1, dtype=np.int32)
-        flag[hit + 1] = 1
-        upto = np.cumsum(flag)
-        texts_left = np.zeros(len(texts), dtype=bool)
-        for lengths in self.classes:
-            own = np.isin(self.size, lengths)
-            wide, least = int((self.size + self.edits)[own].max()), int(self.need[own].min())
-            last = np.minimum(np.arange(total) + wide - 1, total)
-            starts = np.flatnonzero(upto[last] - upto[:total] >= least)
-            texts_left[np.searchsorted(w.first, starts, side="right") - 1] = True
-        windows: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
-        for d in np.flatnonzero(texts_left).tolist():
-            a, b = np.searchsorted(hit, [w.first[d], w.first[d + 1]])
-            for k, starts in self._regions(hit[a:b], which[a:b], int(w.first[d])):
-                windows[int(self.size[k])].append((d, k, starts))
-        for n, some in windows.items():
-            yield from self._confirm(w, n, some)
-
-    def _regions(self, hit: np.ndarray, which: np.ndarray, origin: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Of one text: each item with enough of its pairs close together, and where its windows may start."""
-        if not len(hit):
-            return
-        count = self.at[which + 1] - self.at[which]
-        ahead = np.cumsum(count) - count
-        item = self.holders[np.repeat(self.at[which] - ahead, count) + np.arange(int(count.sum()))]
-        place = np.repeat(hit, count)
-        order = np.argsort(item, kind="stable")
-        item, place = item[order], place[order]
-        first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
-        for a, b in zip(first.tolist(), np.append(first[1:], len(item)).tolist(), strict=True):
-            k = int(item[a])
-            need, reach = int(self.need[k]), int(self.size[k] + self.edits[k])
-            p = place[a:b]
-            if len(p) < need:
-                continue
-            lo, hi = p[need - 1 :] + 2 - reach, p[: len(p) - need + 1]
-            good = lo <= hi
-            if good.any():
-                lo, hi = np.maximum(lo[good], origin), hi[good]
-                n = hi - lo + 1
-                yield k, K.distinct(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-
-    def _confirm(self, w, n: int, some: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
-        """Windows of n words: keys of all of them at once, then distances where keys are equal."""
-        starts = np.concatenate([x for _, _, x in some])
-        which = np.repeat(np.arange(len(some)), [len(x) for _, _, x in some])
-        end = w.first[np.array([d for d, _, _ in some]) + 1][which]
-        own = np.stack([self.signature[k] for _, k, _ in some])
-        best: dict[int, tuple[int, int, int]] = {}
-        edits = int(self.edits[some[0][1]])
-        seen: set[tuple[int, bytes]] = set()
+        text = np.searchsorted(w.first, hit, side="right") - 1
+        true &= hit + 1 < w.first[text + 1]  # no pair across two texts
+        hit, which, text = hit[true], which[true], text[true]
+        for c, n in enumerate(self.lengths.tolist()):
+            own = self.has[c][which]
+            if int(own.sum()) >= self.need[c]:
+                starts, owner = self._starts(hit[own], text[own], int(self.need[c]), n + int(self.edits[c]), w.first)
+                if len(starts):
+                    yield from self._confirm(w, c, starts, owner)
+
+    @staticmethod
+    def _starts(place: np.ndarray, text: np.ndarray, need: int, reach: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of ``reach`` words with ``need`` pairs may start, and their texts."""
+        a, b = place[: len(place) - need + 1], place[need - 1 :]
+        good = (b - a <= reach - 2) & (text[: len(a)] == text[need - 1 :])
+        a, b, text = a[good], b[good], text[: len(good)][good]
+        lo = np.maximum(b + 2 - reach, first[text])
+        n = a - lo + 1
+        starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        starts, at = np.unique(starts, return_index=True)
+        return starts, np.repeat(text, n)[at]
+
+    def _confirm(self, w, c: int, starts: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Windows of one length: their keys, the items of their buckets, and the distances to these."""
+        n, edits = int(self.lengths[c]), int(self.edits[c])
+        held, item_of = self.buckets[c]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for a in range(0, len(starts), 4096):
-            part = slice(a, a + 4096)
-            at = starts[part, None] + np.arange(n)
-            seqs = np.where(at < end[part, None], w.hash[np.minimum(at, len(w.hash) - 1)], PAD)
-            fresh = []
-            for j, pair in enumerate(which[part].tolist()):  # a window met before in this text, as in repeated words, says nothing new
-                text = (pair, seqs[j].tobytes())
-                if text not in seen:
-                    seen.add(text)
-                    fresh.append(j)
-            if not fresh:
+            at, own = starts[a : a + 4096], text[a : a + 4096]
+            place = at[:, None] + np.arange(n)
+            seqs = np.where(place < w.first[own + 1][:, None], w.hash[np.minimum(place, len(w.hash) - 1)], PAD)
+            mark = own.astype(U)
+            for j in range(n):
+                mark = K.mix(mark * U(0xD1342543DE82EF95) + seqs[:, j])
+            fresh = np.sort(np.unique(mark, return_index=True)[1])  # of equal windows in one text, the first
+            keys = self.keys(seqs[fresh])
+            lo, hi = np.searchsorted(held, keys, side="left"), np.searchsorted(held, keys, side="right")
+            count = (hi - lo).ravel()
+            if not count.any():
                 continue
-            pairs = which[part][fresh]
-            votes = (self.keys(seqs[fresh]) == own[pairs]).sum(axis=1)
+            window = np.repeat(np.repeat(fresh, keys.shape[1]), count)
+            item = item_of[np.repeat(lo.ravel() - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            both, votes = np.unique(np.stack([window, item]), axis=1, return_counts=True)
             for j in np.argsort(-votes, kind="stable").tolist():  # likeliest first: the others need to do better
-                if not votes[j]:
-                    break
-                pair = int(pairs[j])
-                limit = best[pair][0] - 1 if pair in best else edits
+                i, k = int(both[0, j]), int(both[1, j])
+                d, s = int(own[i]), int(at[i])
+                limit = best[d, k][0] - 1 if (d, k) in best else edits
                 if limit < 0:
                     continue
-                s = int(starts[a + fresh[j]])
-                d, k, _ = some[pair]
                 got = within(list(self.words[k]), w.hash[s : min(s + n + edits, int(w.first[d + 1]))].tolist(), limit)
                 if got:
-                    best[pair] = (got[0], s - int(w.first[d]), got[1])
-        for pair, (distance, start, words) in best.items():
-            for i in self.ids[some[pair][1]]:
-                yield some[pair][0], i, start, words, distance
+                    best[d, k] = (got[0], s - int(w.first[d]), got[1])
+        for (d, k), (distance, start, words) in best.items():
+            for i in self.ids[k]:
+                yield d, i, start, words, distance
 
 
 def _searcher(shared):
@@ -247,19 +222,23 @@ def _searcher(shared):
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, bits: int = 2, repeats: int = 32, block_octets: int = 1_000_000
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, bits: int = 2, repeats: int = 32, block_octets: int = 2_000_000
 ) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance``: each item in each document that holds it."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_octets))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    work = Workspace(spark, "decontam")
     found = None
     for b in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        held = Items([(r.item_id, r.text.encode("utf-8", "surrogatepass")) for r in some], similarity, min_words, bits, repeats)
-        run, schema = _searcher(spark.sparkContext.broadcast(held))
+        held = spark.sparkContext.broadcast(Items([(r.item_id, r.text.encode("utf-8", "surrogatepass")) for r in some], similarity, min_words, bits, repeats))
+        run, schema = _searcher(held)
         part = texts.mapInArrow(run, schema)
+        if blocks > 1:
+            part = work.settle(part, f"block{b}")
+            held.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.min(F.struct("distance", "start_word", "n_words")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.start_word", "m.n_words", "m.distance")

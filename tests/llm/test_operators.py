@@ -346,22 +346,72 @@ def test_style_importance_against_plain(spark):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        p, kind = rng.randrange(len(w)), rng.randrange(3)
+        if kind == 0:
+            w[p] = f"z{rng.randrange(999)}"
+        elif kind == 1:
+            w.insert(p, f"z{rng.randrange(999)}")
+        elif len(w) > 1:
+            del w[p]
+    return w
+
+
+def plain_contaminated(docs, items, similarity=0.8):
+    """Least distance of each item to any run of words of each document, over all windows."""
+    out = {}
+    for d, t, *_ in docs:
+        text = (t or "").lower().split()
+        for i, x in items:
+            item = (x or "").lower().split()
+            if 0 < len(item) < 5 and item == text:
+                out[d, i] = 0
+            if len(item) < 5:
+                continue
+            most = int((1 - similarity) * len(item) + 1e-9)
+            row = [0] * (len(text) + 1)  # a run may start anywhere
+            for a, word in enumerate(item, 1):
+                new = [a]
+                for b, other in enumerate(text, 1):
+                    new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (word != other)))
+                row = new
+            if min(row) <= most:
+                out[d, i] = min(row)
+    return out
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
-    items = [(i, prose(rng, n, 300)) for i, n in enumerate((20, 35, 60, 8, 3, 0))] + [(9, None)]
-    docs, want = [(0, None, "x"), (1, "", "x"), (2, "same " * 500, "x")], {}
-    for k in range(60):
-        i, t = items[k % 4]
-        w, edits = t.split(), rng.randrange(0, int(0.2 * len(t.split())) + 1)
-        for _ in range(edits):
-            p = rng.randrange(len(w))
-            w[p] = f"z{rng.randrange(99)}"
-        docs.append((10 + k, f"{prose(rng, 40, 900)} {' '.join(w).upper()} {prose(rng, 40, 900)}", "x"))
-        want[10 + k, i] = edits
-    docs += [(100 + k, prose(rng, 200, 300), "x") for k in range(20)]
-    got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), block_octets=200).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[k] <= want[k] for k in want)
+    items = [(i, prose(rng, n, 300)) for i, n in enumerate((20, 35, 60, 8, 5, 20, 3, 0))] + [(9, None), (10, "two words"), (None, "null id of this item"), (11, "two words")]
+    items.append((12, items[0][1].upper()))
+    docs = [(0, None, "x"), (1, "", "x"), (2, "same " * 500, "x"), (3, "Two  words", "x"), (4, "two words more", "x"), (5, items[2][1] + " " + items[2][1], "x")]
+    for k in range(90):
+        w = items[k % 6][1].split()
+        w = edited(rng, w, rng.randrange(0, int(0.2 * len(w)) + 1))
+        docs.append((10 + k, f"{prose(rng, 40, 900)} {' '.join(w).upper()} {prose(rng, 40 * (k % 3 > 0), 900)}", "x"))
+    docs += [(100 + k, prose(rng, 200, 300), "x") for k in range(20)] + [(130, prose(rng, 60_000, 40_000) + " " + items[1][1], "x"), docs[-1]]
+    want = plain_contaminated(docs[:-2], [x for x in items if x[0] is not None]) | {(130, 1): 0}
+    schema = "doc_id long, text string, item_id string"
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for octets in (200, 10_000):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(spark.createDataFrame(docs, schema), table, block_octets=octets).collect()}
+        assert not got.keys() - want.keys() and len(got) >= 0.99 * len(want) > 80
+        assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got) and all(got[k] >= want[k] for k in got)
+
+
+def test_buckets_reach_their_recall():
+    """Passages at the edit limit, by substitutions, insertions and deletions."""
+    rng = random.Random(11)
+    for n in (8, 20, 40, 80):
+        item = prose(rng, n, 10**6)
+        held = decontam.Items([(1, item.encode())], 0.8, 5, 2, 32)
+        met = 0
+        for _ in range(150):
+            w = edited(rng, item.split(), int(0.2 * n))
+            met += bool(list(held.find([f"{prose(rng, 30, 10**6)} {' '.join(w)} {prose(rng, 30, 10**6)}".encode()])))
+        assert met >= 0.97 * 150, (n, met)
 
 
 def test_within_is_edit_distance():

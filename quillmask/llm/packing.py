@@ -86,14 +86,14 @@ def solve_repeats(counts: np.ndarray, combos: np.ndarray, steps: int = 20_000) -
     """x >= 0 that makes ``sum(x * lengths of combos)`` close to ``counts`` by least squares.
 
     Coordinate descent that always moves the steepest coordinate (Gauss-Southwell),
-    never below zero; it ends in a sparse x, when no move is a quarter window or a millionth of
+    never below zero; it ends in a sparse x, when no move is a quarter window or a ten-thousandth of
     all rests.  Should ``steps`` end first, it warns; the greedy part packs what is left either way.
     """
     left = np.append(counts.astype(float), 0.0)  # the last place stands for "no third length"
     at = np.where(combos > 0, combos, len(counts))
     norm = np.array([sum(row.count(n) ** 2 for n in set(row) if n) for row in combos.tolist()], dtype=float)
     x = np.zeros(len(combos))
-    least = max(0.25, 1e-6 * counts.sum())
+    least = max(0.25, 1e-4 * counts.sum())
     for _ in range(steps if len(combos) else 0):
         slope = left[at].sum(axis=1) / norm
         slope = np.maximum(slope, -x)

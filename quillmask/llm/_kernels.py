@@ -39,7 +39,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+#: Values of the bytes, for two hashes of words.
+_BYTES = [mix(np.arange(1, 257, dtype=U) * U(a)) for a in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,7 +61,7 @@ class Words:
 
     __slots__ = ("buf", "start", "end", "hash", "first", "origin")
 
-    def __init__(self, texts: list[bytes], lower: bool = False, hashed: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = False, hashed: bool = True, salt: int = 0):
         raw = b" ".join(texts) + b" "
         buf = np.frombuffer(raw, dtype=np.uint8)
         if lower:
@@ -78,7 +79,7 @@ class Words:
         if hashed:
             p, inv = _upto(len(buf))
             acc = np.zeros(len(buf) + 1, dtype=U)
-            np.cumsum(_BYTES[buf] * p, out=acc[1:])
+            np.cumsum(_BYTES[salt][buf] * p, out=acc[1:])
             self.hash = mix((acc[self.end] - acc[self.start]) * inv[self.start] + (self.end - self.start).astype(U))
 
     def doc_of_word(self) -> np.ndarray:

@@ -46,6 +46,16 @@ class Workspace:
         out._quillmask_path = path
         return out
 
+    def settle_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Like ``settle``, in buckets of ``key``: a later join or cogroup by it need not deal these rows again."""
+        self._n += 1
+        table = f"quillmask_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{self._n:03d}-{name}").saveAsTable(table)
+        out = self.spark.table(table)
+        out.schema  # noqa: B018 - resolved while the catalog has its name
+        self.spark.sql(f"DROP TABLE {table}")  # the name only: an external table's files stay
+        return out
+
     def release(self) -> None:
         """Lets Spark remove shuffle files of plans that are no longer held.
 

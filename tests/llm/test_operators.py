@@ -174,7 +174,10 @@ def test_directory_splits_overfull_buckets(spark, cell_bits):
 
 def test_windows(docs):
     df, rows = docs
-    got = sorted(map(tuple, substring_dedup.remove_repeated_windows(df, max_cells=1 << 16).collect()))
+    tables = [
+        sorted(map(tuple, substring_dedup.remove_repeated_windows(df, **options).collect()))
+        for options in ({}, {"bits": 9, "slice_bits": 7, "unit_octets": 9000, "part_octets": 2000}, {"bits": 25, "unit_octets": 9000, "depth": 1})
+    ]
     words = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     least: dict = {}
     for i, w in words:
@@ -186,12 +189,34 @@ def test_windows(docs):
         gone = {p for j in range(len(w) - 12) if least[tuple(w[j : j + 13])] < i for p in range(j, j + 13)}
         kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want)
+    assert [t == sorted(want) for t in tables] == [True] * 3
     assert sum(x[2] for x in want) > 500
 
 
+def test_share_of_unique_windows_that_pass():
+    """At every size; the formula against a sketch that is simulated."""
+    for octets in (10**8, 3 * 10**9, 3 * 10**10, 10**14):
+        assert substring_dedup.expected_passing(octets / 7.6, substring_dedup.sketch_bits(octets)) < 0.04
+    rng = np.random.default_rng(2)
+    bits, n = 18, 40_000
+    h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    both = np.ones(n, dtype=bool)
+    for r in range(2):
+        c = substring_dedup._cells(h, r, bits).astype(np.int64)
+        both &= np.bincount(c, minlength=1 << bits)[c] > 1
+    assert abs(both.mean() - substring_dedup.expected_passing(n, bits)) < 0.005
+
+
+def test_windows_of_odd_rows(spark):
+    p = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, p), (5, p), (5, p), (5, p + " tail"), (7, p), (9, None), (9, ""), (8, "x " * 40_000 + p)]
+    got = substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 20, 0), (5, 20, 0), (5, 20, 0), (5, 21, 0), (7, 20, 20), (8, 40_020, 20), (9, 0, 0), (9, 0, 0)]
+    assert {r.kept_text for r in got if r.doc_id == 8} == {("x " * 40_000).strip()}
+
+
 def test_gap_code():
-    for cells in ([], [0], [254], [255], [256, 257, 70000], [0, 1, 2, 510, 765]):
+    for cells in ([], [0], [127], [128], [256, 257, 70000], [0, 1, 2, 510, 765], [5, 1 << 40, (1 << 40) + 1, (1 << 55) + 7]):
         c = np.array(cells, dtype=np.int64)
         assert substring_dedup.gap_decode(substring_dedup.gap_code(c)).tolist() == cells
 

@@ -91,6 +91,12 @@ def rule_candidates(text: Column, rules: list[R.Rule], detector: int) -> Column:
     return F.flatten(F.array(*[rows(i, r) for i, r in enumerate(rules)])).cast(RAW)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A small input, as a file of one row group, over all cores; a large one has more splits than these and stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < 4 * cores else docs
+
+
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
@@ -126,6 +132,52 @@ def detect_bare_ids(docs: DataFrame) -> DataFrame:
     )
 
 
+# Kind, reason and detector number of a caller's terms by their type.
+CONFIGURED = {"organization": ("ORG", "configured organization", 6), "matter": ("PROJECT_OR_ISSUE", "configured matter term", 7), "location": ("LOCATION", "configured location", 7)}
+_EXCHANGE = r"(?i)Exchanges and Clearing|Stock Exchange of Hong Kong|London Stock Exchange|Singapore Exchange"
+
+
+def detect_configured(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Raw candidates of a caller's ``lexicon(pack_id, term_type, ord, term)``: its organisations as whole
+    words, its matter terms and locations anywhere, whatever their case; no location inside an exchange's name."""
+    terms = lexicon.select("pack_id", "term_type", "ord", clean_value(F.col("term")).alias("term")).filter(F.col("term_type").isin(*CONFIGURED) & meaningful(F.col("term")))
+    terms = terms.groupBy("pack_id", "term_type", "term").agg(F.min("ord").alias("ord"))
+    terms = terms.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("term_type", "ord", "term"))).alias("terms"))
+    text = text_of(docs)
+
+    def hits(t: Column) -> Column:
+        found = literal_positions(text, t["term"], True)
+        size = F.length(t["term"])
+        whole = F.filter(found, lambda p: ~F.substring(text, p, F.lit(1)).rlike(r"\A[A-Za-z0-9]") & ~F.substring(text, p + size + 1, F.lit(1)).rlike(r"\A[A-Za-z0-9]"))
+        free = F.filter(found, lambda p: ~F.regexp_replace(F.substring(text, F.greatest(p - 24, F.lit(0)) + 1, F.least(p, F.lit(24)) + size + 32), r"\s+", " ").rlike(_EXCHANGE))
+        kept = F.when(t["term_type"] == "organization", whole).when(t["term_type"] == "location", free).otherwise(found)
+        return F.transform(kept, lambda p: F.struct(t["term_type"].alias("type"), t["ord"].alias("rule"), F.substring(text, p + 1, size).alias("value"), p.alias("pos")))
+
+    rows = docs.join(terms, "pack_id").select("pack_id", "doc_ord", "name", F.explode(F.flatten(F.transform("terms", hits))).alias("m"))
+
+    def of(i: int) -> Column:
+        table = F.create_map(*[F.lit(x) for k, v in CONFIGURED.items() for x in (k, v[i])])
+        return table[F.col("m.type")]
+
+    return rows.select(
+        "pack_id", "doc_ord", "name", of(0).alias("kind"), F.lit(2).alias("level"), of(1).alias("reason"), F.col("m.value").alias("value"), F.col("m.pos").alias("pos"),
+        (F.col("m.rule") + 1000).cast("int").alias("rule"), of(2).alias("detector"),
+    )
+
+
+def literal_positions(text: Column, needle: Column, any_case: bool = False) -> Column:
+    """Code-point offsets of a literal in a text, left to right without overlap."""
+    quoted = F.concat(F.lit("(?iu)\\Q" if any_case else "\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    parts = F.split(text, quoted, -1)
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + F.length(p)
+        return F.struct((start + F.length(needle)).alias("at"), F.concat(a["out"], F.array(start)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, step, lambda a: a["out"])
+
+
 def add_candidates(raw: DataFrame) -> DataFrame:
     """The gate that every raw candidate passes: cleaned, meaningful, and valid for its kind."""
     cleaned = clean_value(F.col("value"))
@@ -143,11 +195,11 @@ def add_candidates(raw: DataFrame) -> DataFrame:
 def as_pack(docs: DataFrame, pack: str = "doc_id") -> DataFrame:
     """Documents of the ``documents`` table as packs by one of its columns, ordered by id."""
     return docs.select(
-        F.col(pack).cast("string").alias("pack_id"), F.col("doc_id").cast("int").alias("doc_ord"), F.col("doc_id").cast("string").alias("doc_id"),
-        F.format_string("doc-%05d.md", F.col("doc_id").cast("int")).alias("name"), "text",
+        F.col(pack).cast("string").alias("pack_id"), F.col("doc_id").cast("long").alias("doc_ord"), F.col("doc_id").cast("string").alias("doc_id"),
+        F.format_string("doc-%05d.md", F.col("doc_id").cast("long")).alias("name"), "text",
     )
 
 
 def sample_pack(spark: SparkSession, texts: list[str], pack: str = "p1") -> DataFrame:
     rows = [(pack, i, f"d{i}", f"doc-{i}.md", t) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "pack_id string, doc_ord int, doc_id string, name string, text string")
+    return spark.createDataFrame(rows, "pack_id string, doc_ord long, doc_id string, name string, text string")

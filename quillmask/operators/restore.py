@@ -73,10 +73,10 @@ def restore_remaining(restored: DataFrame, key: DataFrame) -> DataFrame:
     return free.join(key.select("pack_id", F.col("replacement").alias("token")).distinct(), ["pack_id", "token"], "left_semi").select("pack_id", "draft_id", "token", "start", "end")
 
 
-def restore_status(scan: DataFrame) -> DataFrame:
-    """``n unknown``, ``n left`` or ``ready`` for each draft."""
-    sums = scan.groupBy("pack_id", "draft_id").agg(
-        F.sum(F.when(F.col("status") == "unknown", F.col("count")).otherwise(0)).alias("unknown"), F.sum(F.when(F.col("status") == "restorable", F.col("count")).otherwise(0)).alias("left")
-    )
-    text = F.when(F.col("unknown") > 0, F.concat("unknown", F.lit(" unknown"))).when(F.col("left") > 0, F.concat("left", F.lit(" left"))).otherwise("ready")
-    return sums.select("pack_id", "draft_id", text.alias("status"))
+def restore_status(drafts: DataFrame, key: DataFrame) -> DataFrame:
+    """``n unknown`` or ``n left`` (distinct tokens), else ``Draft``, or ``Empty`` for blank text, for each draft."""
+    found = restore_scan(drafts, key).groupBy("pack_id", "draft_id").agg(F.count_if(F.col("status") == "unknown").alias("unknown"), F.count_if(F.col("status") == "restorable").alias("left"))
+    rows = drafts.select("pack_id", "draft_id", "text").join(found, ["pack_id", "draft_id"], "left")
+    empty = F.coalesce("text", F.lit("")).rlike(r"\A\s*\z")
+    text = F.when(F.col("unknown") > 0, F.concat("unknown", F.lit(" unknown"))).when(F.col("left") > 0, F.concat("left", F.lit(" left"))).when(empty, "Empty").otherwise("Draft")
+    return rows.select("pack_id", "draft_id", text.alias("status"))

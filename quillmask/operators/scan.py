@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import lexicons as L
 from quillmask.functions.dialect import java
 from quillmask.operators import rules as R
+from quillmask.operators.detect import spread
 
 Found = tuple[str, int, str, str, int, int]
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", re.A)
@@ -371,7 +372,7 @@ def blocks(rows: list[tuple[int, str]]) -> Iterator[Found]:
                 kind = "PERSON" if looks_like_person(value) else "PERSON_OR_ORG"
                 yield kind, 1, "label continuation value", value, rows[k + 1][0], 0
         if re.fullmatch(r"(?:[-*]\s+)?Address\s*[:：].*", s, re.I):
-            for p, nxt in rows[k + 1 : k + 6]:
+            for p, nxt in rows[k + 1 :]:
                 t = clean(nxt)
                 if not t:
                     continue
@@ -423,7 +424,7 @@ def all_found(text: str) -> Iterator[tuple[int, Found]]:
 
 def _runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["pack_id", "doc_ord", "name", "kind", "level", "reason", "value", "pos", "rule", "detector"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
     for batch in batches:
         out = []
         for pack, ordinal, name, text in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
@@ -435,5 +436,6 @@ def _runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detect(docs: DataFrame) -> DataFrame:
     """Raw candidates of every document-local detector."""
-    schema = "pack_id string, doc_ord int, name string, kind string, level int, reason string, value string, pos int, rule int, detector int"
-    return docs.select("pack_id", "doc_ord", "name", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_runner, schema)
+    schema = "pack_id string, doc_ord long, name string, kind string, level int, reason string, value string, pos int, rule int, detector int"
+    rows = docs.select("pack_id", F.col("doc_ord").cast("long").alias("doc_ord"), "name", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(rows).mapInArrow(_runner, schema)

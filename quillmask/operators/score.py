@@ -157,9 +157,38 @@ def gold_validate(gold: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).filter("problem is not null").drop("source")
 
 
+def _sums(digest: str) -> list[Column]:
+    """Two sums of 60 bits each of a column of digests: the same in any order, and combined before they meet."""
+    return [F.sum(F.conv(F.substring(digest, a, 15), 16, 10).cast("decimal(38,0)")).alias(n) for a, n in ((1, "x"), (16, "y"))]
+
+
 def suite_fingerprint(docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """A digest of a suite's documents and annotations, whatever their order: of per-document digests."""
-    own = gold.groupBy("doc_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "id", "action", "label", "start", "end"))), "\n"), 256).alias("g"))
+    """A digest of a suite's documents and annotations, whatever their order."""
+    own = gold.select("doc_id", F.sha2(F.concat_ws("|", "id", "action", "label", "start", "end"), 256).alias("d")).groupBy("doc_id").agg(*_sums("d"))
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")).join(own, "doc_id", "left")
-    line = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "t", F.coalesce("g", F.lit(""))), 256)
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    line = F.concat_ws("|", F.col("doc_id").cast("string"), "t", F.coalesce("x", zero).cast("string"), F.coalesce("y", zero).cast("string"))
+    total = rows.select(F.sha2(line, 256).alias("d")).agg(F.count("*").alias("n"), *_sums("d"))
+    return total.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.coalesce("x", zero).cast("string"), F.coalesce("y", zero).cast("string")), 256).alias("fingerprint"))
+
+
+def category_buckets(documents: DataFrame, categories: DataFrame) -> DataFrame:
+    """``scope, key, spans, covered, recall`` by a document's category, of scored documents and ``categories(doc_id, category)``."""
+    rows = documents.join(categories.select("doc_id", "category"), "doc_id", "left").groupBy(F.coalesce("category", F.lit("uncategorized")).alias("key"))
+    sums = rows.agg(F.sum("spans").alias("spans"), F.sum("covered").alias("covered"))
+    return sums.select(F.lit("category").alias("scope"), "key", "spans", "covered", ratio(F.col("covered"), F.col("spans")).alias("recall"))
+
+
+def gate_totals(baseline: DataFrame, candidate: DataFrame, most_keep_gain: int = 0, most_precision_drop: float = 0.0) -> DataFrame:
+    """Of two one-row summaries: FAIL where keep violations rise or precision drops by more than allowed; WARN where the targets differ."""
+    a, b = (x.select(*[F.col(c).alias(n + c) for c in ("spans", "keeps", "keep_violations", "precision")]) for x, n in ((baseline, "a_"), (candidate, "b_")))
+    both = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one")
+    same = (F.col("a_spans") == F.col("b_spans")) & (F.col("a_keeps") == F.col("b_keeps"))
+
+    def row(key: str, base: Column, new: Column, worse: Column) -> Column:
+        verdict = F.when(~same, "WARN").when(worse, "FAIL").otherwise("PASS")
+        return F.struct(F.lit(key).alias("key"), base.cast("double").alias("base"), new.cast("double").alias("new"), verdict.alias("verdict"))
+
+    keeps = row("keep_violations", F.col("a_keep_violations"), F.col("b_keep_violations"), F.col("b_keep_violations") - F.col("a_keep_violations") > most_keep_gain)
+    precision = row("precision", F.col("a_precision"), F.col("b_precision"), F.col("a_precision") - F.col("b_precision") > most_precision_drop)
+    return both.select(F.explode(F.array(keeps, precision)).alias("r")).select("r.*")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmask.functions import checks
 from quillmask.functions import text as T
-from quillmask.functions.lexicons import IBAN_COUNTRIES, KINDS, ROLE_INBOXES
+from quillmask.functions import lexicons as L
+from quillmask.functions.lexicons import IBAN_COUNTRIES, KINDS, PRC_ID_CHECKS, PRC_ID_WEIGHTS, ROLE_INBOXES, USCC_ALPHABET, USCC_WEIGHTS
 from quillmask.operators import detect, resolve, restore, review, rewrite, rules, scan, score
 from quillmask.plans import redact as plan
 from quillmask.sources import readers
@@ -78,7 +79,7 @@ def _kind_counts(spark, sf_dir):
 def _combine(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")
     docs = talks.select(
-        F.col("conv_id").cast("string").alias("pack_id"), F.col("turn").cast("int").alias("doc_ord"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"),
+        F.col("conv_id").cast("string").alias("pack_id"), F.col("turn").cast("long").alias("doc_ord"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"),
         F.concat(F.lit("turn-"), F.col("turn")).alias("name"), "text",
     )
     return plan.redact(docs, level=3).markdown()
@@ -90,9 +91,6 @@ def _scan(spark, sf_dir):
     return found.select(F.col("doc_ord").alias("doc_id"), "kind", "value", "level", "reason", "pos")
 
 
-@query("detect_bare_ids")
-def _bare(spark, sf_dir):
-    return detect.detect_bare_ids(_packs(spark, sf_dir)).select(F.col("doc_ord").alias("doc_id"), "kind", "value", "pos")
 
 
 # --- rules with native matches ------------------------------------------------
@@ -154,7 +152,7 @@ SELECT doc_id, kind, level, reason, v AS value, CAST(sum(length(g) + length(v))
 
 @query("detect_direct_rules", _fixed_sql())
 def _direct_rules(spark, sf_dir):
-    docs = _fixture(spark, _TEXTS, "doc_id int, text string").select("doc_id", "text", F.lit("p").alias("pack_id"), F.col("doc_id").alias("doc_ord"), F.lit("n").alias("name"))
+    docs = _fixture(spark, _TEXTS, "doc_id int, text string").select("doc_id", "text", F.lit("p").alias("pack_id"), F.col("doc_id").cast("long").alias("doc_ord"), F.lit("n").alias("name"))
     found = detect.detect_rules(docs, _fixed_rules())
     return found.select(F.col("doc_ord").alias("doc_id"), "kind", "level", "reason", "value", F.col("pos").cast("long").alias("pos"))
 
@@ -267,10 +265,32 @@ def _iban(spark, sf_dir):
     return _fixture(spark, _IBANS, "value string").select("value", checks.is_valid_iban(F.col("value")).alias("valid"))
 
 
-_CODES = [("US0378331005",), ("US0378331006",), ("GB0002634946",), ("91350100M000100Y43",), ("91350100M000100Y44",), ("11010519491231002X",), ("110105194912310021",), ("",)]
+_CODES = [("US0378331005",), ("US0378331006",), ("GB0002634946",), ("91350100M000100Y43",), ("91350100M000100Y44。签署日期 2020年3月5日，电话：13800138000，案号：（2021）京01民终123号",), ("11010519491231002X",), ("110105194912310021",), ("",)]
+
+
+_USCC_TERMS = " + ".join(f"(instr('{USCC_ALPHABET}', substr({{v}}, {i + 1}, 1)) - 1) * {w}" for i, w in enumerate(USCC_WEIGHTS))
+_PRC_TERMS = " + ".join(f"(ascii(substr({{v}}, {i + 1}, 1)) - 48) * {w}" for i, w in enumerate(PRC_ID_WEIGHTS))
+
+
+def _isin_sql(v: str) -> str:
+    codes = f"array_to_string([CASE WHEN ascii(x) < 58 THEN x ELSE CAST(ascii(x) - 55 AS VARCHAR) END FOR x IN string_split({v}, '')], '')"
+    digit = f"CAST(substr(reverse({codes}), i, 1) AS INTEGER)"
+    total = f"list_sum([CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END FOR i IN range(1, length({codes}) + 1)])"
+    return f"CASE WHEN regexp_full_match({v}, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') THEN {total} % 10 = 0 ELSE false END"
+
+
+def _uscc_sql(v: str) -> str:
+    return f"CASE WHEN regexp_full_match({v}, '[{USCC_ALPHABET}]{{18}}') THEN (31 - ({_USCC_TERMS.format(v=v)}) % 31) % 31 = instr('{USCC_ALPHABET}', substr({v}, 18, 1)) - 1 ELSE false END"
+
+
+def _prc_sql(v: str) -> str:
+    u = f"upper({v})"
+    born = f"TRY_CAST(substr({u}, 7, 4) || '-' || substr({u}, 11, 2) || '-' || substr({u}, 13, 2) AS DATE)"
+    check = f"substr('{PRC_ID_CHECKS}', CAST(({_PRC_TERMS.format(v=u)}) % 11 + 1 AS INTEGER), 1) = substr({u}, 18, 1)"
+    return f"CASE WHEN regexp_full_match({u}, '[1-9][0-9]{{16}}[0-9X]') THEN coalesce(year({born}) BETWEEN 1900 AND 2099 AND {check}, false) ELSE false END"
 
 
-@query("checksums")
+@query("checksums", f"SELECT value, {_isin_sql('value')} AS isin, {_uscc_sql('value')} AS uscc, {_prc_sql('value')} AS prc_id FROM {_values(_CODES, 'value')}")
 def _codes(spark, sf_dir):
     v = F.col("value")
     return _fixture(spark, _CODES, "value string").select("value", checks.is_valid_isin(v).alias("isin"), checks.is_valid_uscc(v).alias("uscc"), checks.is_valid_prc_id(v).alias("prc_id"))
@@ -375,6 +395,9 @@ def _gold(spark, sf_dir) -> DataFrame:
     )
 
 
+_OVERLAPPING_SQL = f"""SELECT doc_id, start, "end" FROM ({_SPANS_SQL}) UNION ALL SELECT doc_id, start + 2, "end" + 2 FROM ({_SPANS_SQL})"""
+_UNION_SQL = f"""SELECT g.doc_id, g.id, g.action, g.label, g.severity, g.start, g."end", count(DISTINCT c) AS covered FROM ({_GOLD_SQL}) g
+ LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS c FROM ({_OVERLAPPING_SQL})) p ON p.doc_id = g.doc_id AND c >= g.start AND c < g."end" GROUP BY ALL"""
 _COVERED_SQL = f"""SELECT g.doc_id, g.id, g.action, g.label, g.severity, g.start, g."end", coalesce(CAST(sum(greatest(0, least(g."end", p."end") - greatest(g.start, p.start))) AS BIGINT), 0) AS covered
  FROM ({_GOLD_SQL}) g LEFT JOIN ({_SPANS_SQL}) p ON p.doc_id = g.doc_id AND p.start < g."end" AND g.start < p."end" GROUP BY ALL"""
 _STATUS_SQL = f"""SELECT *, "end" - start AS size, CASE WHEN covered >= 0.8 * ("end" - start) THEN 'covered' WHEN covered > 0 THEN 'partial' ELSE 'missed' END AS status FROM ({_COVERED_SQL})"""
@@ -389,9 +412,10 @@ b AS (SELECT p.doc_id, CAST(sum("end" - start) AS BIGINT) AS predicted_chars,
 SELECT a.doc_id, spans, covered, partial, missed, chars, covered_chars, keeps, keep_violations, predicted_chars, right_chars, predicted, unsupported FROM a JOIN b USING (doc_id)"""
 
 
-@query("covered_chars", _COVERED_SQL)
+@query("covered_chars", _UNION_SQL)
 def _covered(spark, sf_dir):
-    return score.covered_chars(_gold(spark, sf_dir), _spans(spark, sf_dir))
+    spans = _spans(spark, sf_dir).select("doc_id", "start", "end")
+    return score.covered_chars(_gold(spark, sf_dir), spans.unionByName(spans.select("doc_id", (F.col("start") + 2).alias("start"), (F.col("end") + 2).alias("end"))))
 
 
 @query("score_document", _DOC_SQL)
@@ -429,6 +453,30 @@ def _gate_reports(spark, sf_dir):
     return score.gate(score.buckets(score.score_spans(gold, spans, 0.3)), score.buckets(score.score_spans(gold, spans)))
 
 
+_SUITE_SQL = ORACLE_SQL["score_suite"]
+
+
+@query(
+    "gate_totals",
+    f"""WITH a AS ({_SUITE_SQL.replace('0.8 *', '0.3 *')}), b AS ({_SUITE_SQL}), r AS (SELECT 'keep_violations' AS key, CAST(a.keep_violations AS DOUBLE) AS base, CAST(b.keep_violations AS DOUBLE) AS new, b.keep_violations > a.keep_violations AS worse,
+ a.spans = b.spans AND a.keeps = b.keeps AS same FROM a, b UNION ALL SELECT 'precision', a.precision, b.precision, a.precision > b.precision, a.spans = b.spans AND a.keeps = b.keeps FROM a, b)
+ SELECT key, base, new, CASE WHEN NOT same THEN 'WARN' WHEN worse THEN 'FAIL' ELSE 'PASS' END AS verdict FROM r""",
+)
+def _gate_totals(spark, sf_dir):
+    gold, spans = _gold(spark, sf_dir), _spans(spark, sf_dir)
+    return score.gate_totals(score.summarize(score.score_document(gold, spans, 0.3)), score.summarize(score.score_document(gold, spans)))
+
+
+@query(
+    "category_buckets",
+    f"""SELECT 'category' AS scope, coalesce(d.source, 'uncategorized') AS key, CAST(sum(spans) AS BIGINT) AS spans, CAST(sum(covered) AS BIGINT) AS covered, CASE WHEN sum(spans) = 0 THEN 1.0 ELSE sum(covered) / sum(spans) END AS recall
+ FROM ({_DOC_SQL}) s LEFT JOIN documents d USING (doc_id) GROUP BY 2""",
+)
+def _categories(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category"))
+    return score.category_buckets(_score_document(spark, sf_dir), docs)
+
+
 @query("consensus")
 def _consensus(spark, sf_dir):
     gold = _gold(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -461,7 +509,16 @@ def _history(spark, sf_dir):
     return score.history_upsert(old, new)
 
 
-@query("suite_fingerprint")
+def _sums_sql(digest: str) -> str:
+    return ", ".join(f"CAST(sum(CAST('0x' || substr({digest}, {a}, 15) AS BIGINT)) AS VARCHAR) AS {n}" for a, n in ((1, "x"), (16, "y")))
+
+
+@query(
+    "suite_fingerprint",
+    f"""WITH g AS (SELECT doc_id, {_sums_sql('d')} FROM (SELECT doc_id, sha256(id || '|' || action || '|' || label || '|' || start || '|' || "end") AS d FROM ({_GOLD_SQL})) GROUP BY doc_id),
+ t AS (SELECT count(*) AS n, {_sums_sql('d')} FROM (SELECT sha256(doc_id || '|' || sha256(coalesce(text, '')) || '|' || coalesce(x, '0') || '|' || coalesce(y, '0')) AS d FROM documents LEFT JOIN g USING (doc_id)))
+ SELECT sha256(n || '|' || coalesce(x, '0') || '|' || coalesce(y, '0')) AS fingerprint FROM t""",
+)
 def _fingerprint(spark, sf_dir):
     return score.suite_fingerprint(_table(spark, sf_dir, "documents"), _gold(spark, sf_dir))
 
@@ -469,7 +526,7 @@ def _fingerprint(spark, sf_dir):
 # --- restoring ----------------------------------------------------------------
 
 _KEY = [("p", "EMAIL_001", "a@x.example", 2, True), ("p", "PERSON_001", "Mara Quill", 1, False), ("p", "PERSON_001", "Quill", 1, False), ("p", "DATE_000", "1 May", 1, False), ("p", "X", "y", 1, False), ("p", "ORG_1234", "Acme", 3, True)]
-_DRAFTS = [("p", "d1", "Write EMAIL_001 and EMAIL_001 for PERSON_001."), ("p", "d2", "DATE_000 CASE_REF_009 ORG_1234"), ("p", "d3", "none"), ("p", "d4", None)]
+_DRAFTS = [("p", "d1", "Write EMAIL_001 and EMAIL_001 for PERSON_001."), ("p", "d2", "DATE_000 CASE_REF_009 ORG_1234"), ("p", "d3", "none"), ("p", "d4", None), ("p", "d5", " \n"), ("p", "d6", "EMAIL_001 EMAIL_001 ORG_1234"), ("p", "d7", "ZIP_004 ZIP_004 EMAIL_001")]
 _TOKEN_RE2 = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_[0-9]{3,}\b"
 
 
@@ -501,9 +558,17 @@ def _restore_text(spark, sf_dir):
     return restore.restore_text(_fixture(spark, _DRAFTS, "pack_id string, draft_id string, text string"), _key(spark)).select("draft_id", "restored")
 
 
-@query("restore_status")
+_SCAN_SQL = ORACLE_SQL["restore_scan"]
+
+
+@query(
+    "restore_status",
+    f"""SELECT d.pack_id, d.draft_id, CASE WHEN u > 0 THEN u || ' unknown' WHEN l > 0 THEN l || ' left' WHEN regexp_full_match(coalesce(d.text, ''), '\\s*') THEN 'Empty' ELSE 'Draft' END AS status
+ FROM {_values(_DRAFTS, 'pack_id, draft_id, text').replace('AS f(', 'AS d(')} LEFT JOIN (SELECT pack_id, draft_id, count(*) FILTER (status = 'unknown') AS u, count(*) FILTER (status = 'restorable') AS l
+ FROM ({_SCAN_SQL}) GROUP BY ALL) s ON s.pack_id = d.pack_id AND s.draft_id = d.draft_id""",
+)
 def _restore_status(spark, sf_dir):
-    return restore.restore_status(_restore_scan(spark, sf_dir))
+    return restore.restore_status(_fixture(spark, _DRAFTS, "pack_id string, draft_id string, text string"), _key(spark))
 
 
 # --- sources ------------------------------------------------------------------
@@ -600,9 +665,23 @@ def _preview(spark, sf_dir):
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "snippet", "redacted")
 
 
-@query("predicted_spans")
+def _mail_review(spark, sf_dir) -> DataFrame:
+    """Documents redacted by the rule of mail addresses alone, which SQL can follow."""
+    docs = _packs(spark, sf_dir)
+    return rewrite.apply_entries(docs, resolve.entries(detect.add_candidates(detect.detect_rules(docs, [_rule("email address")]))), 1)
+
+
+@query("predicted_spans", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, start, \"end\", 'EMAIL' AS kind, text FROM ({_SPANS_SQL})")
 def _predicted(spark, sf_dir):
-    return score.predicted_spans(plan.redact(_packs(spark, sf_dir), level=1).documents)
+    found = score.predicted_spans(_mail_review(spark, sf_dir))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "text")
+
+
+@query("mail_counts", f"SELECT CAST(doc_id AS VARCHAR) AS pack_id, 'EMAIL' AS kind, count(*) AS count FROM ({_SPANS_SQL}) GROUP BY doc_id")
+def _mail_counts(spark, sf_dir):
+    docs = _packs(spark, sf_dir)
+    found = resolve.entries(detect.add_candidates(detect.detect_rules(docs, [_rule("email address")])))
+    return rewrite.kind_counts(rewrite.entry_counts(found, rewrite.apply_entries(docs, found, 1)))
 
 
 @query("reconstruct", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents")
@@ -619,36 +698,69 @@ def _gold_build(spark, sf_dir):
     return review.gold_build(docs, _fixture(spark, _NEEDLES, "doc_id string, item_ord int, action string, needle string, label string, severity string, most int"))
 
 
-@query("gold_validate")
+@query(
+    "gold_validate",
+    f"""SELECT doc_id, id, problem FROM (SELECT g.doc_id, g.id, CASE WHEN d.text IS NULL THEN 'no document' WHEN NOT g."end" > g.start OR g.start < 0 OR g."end" > length(d.text) THEN 'offsets'
+ WHEN substr(d.text, g.start + 1, g."end" - g.start) <> 'x' THEN 'text' WHEN (g.action = 'keep') <> (g.severity = 'none') THEN 'severity' END AS problem FROM ({_GOLD_SQL}) g LEFT JOIN documents d USING (doc_id)) WHERE problem IS NOT NULL""",
+)
 def _gold_validate(spark, sf_dir):
     gold = _gold(spark, sf_dir).withColumn("text", F.lit("x"))
     return score.gold_validate(gold, _table(spark, sf_dir, "documents")).select("doc_id", "id", "problem")
 
 
-@query("prediction_support")
+def _touched_sql(severity: str) -> str:
+    return f"""EXISTS (SELECT 1 FROM g WHERE g.severity = '{severity}' AND g.doc_id = p.doc_id AND p.start < g."end" AND g.start < p."end")"""
+
+
+@query(
+    "prediction_support",
+    f"""WITH g AS ({_GOLD_SQL}), p AS (SELECT DISTINCT doc_id, start, "end" FROM ({_SPANS_SQL}))
+ SELECT CASE WHEN {_touched_sql('high')} THEN 'confirmed' WHEN {_touched_sql('low')} THEN 'uncertain' ELSE 'unsupported' END AS support, count(*) AS spans, CAST(sum("end" - start) AS BIGINT) AS chars FROM p GROUP BY 1""",
+)
 def _support(spark, sf_dir):
     gold = _gold(spark, sf_dir)
     return review.prediction_support(_spans(spark, sf_dir), gold.filter("severity = 'high'"), gold.filter("severity = 'low'"))
 
 
-@query("report_render")
+@query(
+    "report_render",
+    f"""SELECT '| scope | key | spans | covered | recall |' || chr(10) || '|-|-|-|-|-|' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS markdown
+ FROM (SELECT printf('| %s | %s | %d | %d | %.1f %% |', scope, key, spans, covered, recall * 100) AS line FROM ({_BUCKETS_SQL}))""",
+)
 def _report(spark, sf_dir):
     return review.report_markdown(_buckets(spark, sf_dir))
 
 
-@query("restore_parse")
+_RESTORE_JSON = '{"kind": "restore-key", "version": 1, "level": "light", "entries": [{"replacement": "EMAIL_001", "value": "a@x.example", "kind": "EMAIL", "reason": "r", "sources": ["s"]}, {"replacement": "EMAIL_001", "value": "b@x.example", "kind": "EMAIL", "reason": "r", "sources": [], "count": 4}]}'
+
+
+@query(
+    "restore_parse",
+    f"""SELECT 'p' AS pack_id, e->>'$.replacement' AS replacement, e->>'$.value' AS value, e->>'$.kind' AS kind, e->>'$.reason' AS reason, CAST(e->'$.sources' AS VARCHAR[]) AS sources,
+ coalesce(CAST(e->>'$.count' AS BIGINT), 1) AS count, regexp_full_match(e->>'$.replacement', '[A-Z][A-Z0-9]*(_[A-Z0-9]+)*_[0-9]{{3,}}') AS safe, false AS ambiguous
+ FROM (SELECT unnest(CAST('{_RESTORE_JSON}'::JSON->'$.entries' AS JSON[])) AS e, generate_subscripts(CAST('{_RESTORE_JSON}'::JSON->'$.entries' AS JSON[]), 1) AS i)
+ QUALIFY row_number() OVER (PARTITION BY e->>'$.replacement' ORDER BY i DESC) = 1""",
+)
 def _restore_parse(spark, sf_dir):
-    one = '{"kind": "restore-key", "version": 1, "level": "light", "entries": [{"replacement": "EMAIL_001", "value": "a@x.example", "kind": "EMAIL", "reason": "r", "sources": ["s"]}, {"replacement": "EMAIL_001", "value": "b@x.example", "kind": "EMAIL", "reason": "r", "sources": [], "count": 4}]}'
-    return restore.restore_parse(_fixture(spark, [("p", one)], "pack_id string, json string"))
+    return restore.restore_parse(_fixture(spark, [("p", _RESTORE_JSON)], "pack_id string, json string"))
 
 
-@query("restore_remaining")
+@query(
+    "restore_remaining",
+    f"""SELECT 'p' AS pack_id, draft_id, v AS token, pos AS start, pos + length(v) AS "end" FROM (
+ SELECT draft_id, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY draft_id ORDER BY i) AS BIGINT) - length(v) AS pos FROM (SELECT draft_id, unnest(ms) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+  SELECT draft_id, regexp_extract_all(restored, '{_TOKEN_RE2}') AS ms, string_split_regex(restored, '{_TOKEN_RE2}') AS gs FROM ({ORACLE_SQL['restore_text']})))) WHERE list_contains({[r[1] for r in _KEY]}, v)""",
+)
 def _remaining(spark, sf_dir):
     drafts = _fixture(spark, _DRAFTS, "pack_id string, draft_id string, text string")
     return restore.restore_remaining(restore.restore_text(drafts, _key(spark)), _key(spark))
 
 
-@query("merge_entries")
+@query(
+    "merge_entries",
+    f"""WITH e AS (SELECT pack_id, value, 'EMAIL:' || replace(url_encode(value), '%7E', '~') AS id, replacement FROM ({ORACLE_SQL['token_assign']}))
+ SELECT pack_id, id, CASE WHEN id = min(id) OVER (PARTITION BY pack_id) THEN 'HIDDEN' ELSE replacement END AS replacement FROM e""",
+)
 def _merge_entries(spark, sf_dir):
     detected = resolve.entries(_email_candidates(spark, sf_dir))
     first = detected.groupBy("pack_id").agg(F.min("id").alias("id"))
@@ -664,8 +776,8 @@ _LETTERS = [
     "Before: Ann Lee, Commissioner\n          Bo Chen\nMARA QUILL, Plaintiff, v. CARL DIAZ, Defendant\n<td>JOHN SMITH</td>\nMARY JONES",
     "This lease is between Ann Lee (the \"Tenant\") and Bo Chen, Carl Diaz and Mara Quill.\nSigned\n/s/ Ann Lee\nName: Bo Chen\nWitness Statement of Carl Diaz\nMr. Diaz testified. Bo's response. Dear Lee,",
     "Project Falcon ran in London and New York. Falcon needs product candidate AB-123. Grand Lake Pier opened. Grand Lake Pier closed. Grand Lake Pier fell. London Stock Exchange rules.",
-    "100 Main Street\nBoston, MA 02110\nP.O. Box 12",
-    "住址：\n北京市海淀区\n中关村大街1号\n联系人：张伟\n地址：上海市浦东新区世纪大道100号\n环球金融中心20楼\n甲方：北京蓝天科技有限公司\n乙方：李明\n由王小明与赵强就买卖事宜\n审 判 长 王 建 国\n授权代表签字（刘洋）\n请李女士联系。身份证号：11010519491231002X",
+    "100 Main Street\nBoston, MA 02110\nP.O. Box 12\nAttn: Mara Quill\nBo Chen\nthe second floor\nCarl Diaz\n\nAnn Lee",
+    "住址：\n北京市海淀区\n中关村大街1号\n联系人：张伟\n地址：上海市浦东新区世纪大道100号\n环球金融中心20楼\n甲方：北京蓝天科技有限公司\n乙方：李明\n由王小明与赵强就买卖事宜\n审 判 长 王 建 国\n授权代表签字（刘洋）\n请李女士联系。身份证号：11010519491231002X\n统一社会信用代码 91350100M000100Y43 与 91350100M000100Y44。签署日期 2020年3月5日，电话：13800138000，案号：（2021）京01民终123号",
     None, "",
 ]
 _DETECTORS = {
@@ -674,7 +786,7 @@ _DETECTORS = {
     "detect_people": "kind = 'PERSON' and detector = 5", "detect_inventors": "reason = 'patent inventor name'", "detect_person_lists": "reason = 'title-case person in list'",
     "detect_person_lines": "reason = 'standalone title-case person line'", "detect_attention": "reason like 'attention block%'", "detect_caption_personnel": "reason like 'caption-block%'",
     "detect_caption_party": "reason = 'caption party name'", "detect_preamble_party": "reason = 'contract preamble party'", "detect_signature": "reason = 'signature block name'",
-    "detect_orgs": "kind = 'ORG' and detector = 6", "detect_matter": "reason like 'project%'", "detect_product_code": "reason = 'product-candidate code'", "detect_locations": "kind = 'LOCATION'",
+    "detect_orgs": "kind = 'ORG' and detector = 6", "detect_matter": "reason like 'project%'", "detect_product_code": "reason = 'product-candidate code'", "detect_locations": "reason in ('common location', 'patent inventor/assignee residence')",
     "detect_proper_nouns": "kind = 'PROPER_NOUN'", "detect_zh_direct": "detector = 1 and rule < 200", "detect_zh_labels": "detector = 1 and rule between 200 and 299",
     "detect_zh_addr_block": "reason = 'Chinese multi-line labeled address'", "detect_zh_addr_wrap": "reason = 'Chinese wrapped labeled address'", "detect_zh_orgs": "reason like 'Chinese context organization%'",
     "detect_zh_party": "reason like 'Chinese party role%'", "detect_zh_agreement": "reason = 'Chinese agreement party heading'", "detect_zh_signature": "reason like 'Chinese signature%'",
@@ -682,21 +794,186 @@ _DETECTORS = {
 }
 
 
+_LEXICON = [("organization", 1, "Mountain example"), ("organization", 2, "mail4.example"), ("organization", 3, "Blue Sky"), ("matter", 1, " licensed UNDER "), ("matter", 2, "Falcon"), ("location", 1, "example.com"), ("location", 2, "london"), ("location", 3, "the")]
+
+
+def _with_letters(spark, sf_dir) -> DataFrame:
+    return _packs(spark, sf_dir, "source").unionByName(detect.sample_pack(spark, _LETTERS, "letters"))
+
+
+#: What SQL reads of the same documents and letters.
+_BOTH_SQL = f"SELECT source AS pack_id, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'letters', i, coalesce(t, '') FROM {_values(list(enumerate(_LETTERS)), 'i, t')}"
+
+
+@query(
+    "detect_configured",
+    f"""WITH l AS (SELECT type, regexp_replace(trim(term), '\\s+', ' ', 'g') AS term FROM {_values([r for r in _LEXICON if r[2] != 'the'], 'type, ord, term')}),
+ s AS (SELECT pack_id, doc_id, text, type, term, string_split(lower(text), lower(term)) AS gs FROM ({_BOTH_SQL}), l),
+ u AS (SELECT pack_id, doc_id, text, type, term, unnest(gs[1:len(gs) - 1]) AS g, generate_subscripts(gs[1:len(gs) - 1], 1) AS i FROM s WHERE len(gs) > 1),
+ p AS (SELECT *, CAST(sum(length(g) + length(term)) OVER (PARTITION BY pack_id, doc_id, type, term ORDER BY i) AS BIGINT) - length(term) AS pos FROM u)
+ SELECT pack_id, doc_id, CASE type WHEN 'organization' THEN 'ORG' WHEN 'matter' THEN 'PROJECT_OR_ISSUE' ELSE 'LOCATION' END AS kind, 2 AS level,
+  CASE type WHEN 'organization' THEN 'configured organization' WHEN 'matter' THEN 'configured matter term' ELSE 'configured location' END AS reason, substr(text, pos + 1, length(term)) AS value, pos FROM p
+ WHERE CASE type WHEN 'organization' THEN NOT regexp_matches(substr(text, pos, CASE WHEN pos > 0 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, pos + length(term) + 1, 1), '[A-Za-z0-9]')
+  WHEN 'location' THEN NOT regexp_matches(regexp_replace(substr(text, greatest(pos - 24, 0) + 1, least(pos, 24) + length(term) + 32), '\\s+', ' ', 'g'), '(?i)Exchanges and Clearing|Stock Exchange of Hong Kong|London Stock Exchange|Singapore Exchange') ELSE true END""",
+)
+def _configured(spark, sf_dir):
+    docs = _with_letters(spark, sf_dir)
+    terms = _fixture(spark, _LEXICON, "term_type string, ord int, term string").join(docs.select("pack_id").distinct())
+    return detect.detect_configured(docs, terms).select("pack_id", F.col("doc_ord").alias("doc_id"), "kind", "level", "reason", "value", F.col("pos").cast("long").alias("pos"))
+
+
+_RUNS18_SQL = f"""SELECT pack_id, doc_id, v, pos FROM (SELECT pack_id, doc_id, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY pack_id, doc_id ORDER BY i) AS BIGINT) - length(v) AS pos FROM (
+ SELECT pack_id, doc_id, unnest(ms) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT pack_id, doc_id, regexp_extract_all(text, '[0-9A-Za-z]+') AS ms, string_split_regex(text, '[0-9A-Za-z]+') AS gs FROM ({_BOTH_SQL})) WHERE len(ms) > 0))
+ WHERE regexp_full_match(v, '[0-9A-Z]{{17}}[0-9A-Zx]')"""
+
+
+@query(
+    "detect_bare_ids",
+    f"""WITH r AS ({_RUNS18_SQL}) SELECT pack_id, doc_id, 'NATIONAL_ID' AS kind, v AS value, pos FROM r WHERE {_prc_sql('v')}
+ UNION ALL SELECT pack_id, doc_id, 'BUSINESS_ID', v, pos FROM r WHERE {_uscc_sql('v')} AND regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '{'|'.join(c + '{9}' for c in USCC_ALPHABET)}')""",
+)
+def _bare(spark, sf_dir):
+    return detect.detect_bare_ids(_with_letters(spark, sf_dir)).select("pack_id", F.col("doc_ord").alias("doc_id"), "kind", "value", F.col("pos").cast("long").alias("pos"))
+
+
 def _detector(condition: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _packs(spark, sf_dir).unionByName(detect.sample_pack(spark, _LETTERS, "letters"))
-        return scan.detect(docs).filter(condition).select("pack_id", F.col("doc_ord").alias("doc_id"), "kind", "level", "reason", "value", "pos")
+        return scan.detect(_with_letters(spark, sf_dir)).filter(condition).select("pack_id", F.col("doc_ord").alias("doc_id"), "kind", "level", "reason", "value", F.col("pos").cast("long").alias("pos"))
 
     return run
 
 
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _person_sql(v: str) -> str:
+    """``scan.looks_like_person`` of a value."""
+    bare = rf"regexp_replace(regexp_replace({v}, '^(?i:{'|'.join(L.TITLES)})\.?\s+', ''), '[''’]s$', '')"
+    words = f"list_filter(string_split_regex({bare}, '\\s+'), lambda w: w <> '')"
+    bad = _listed([*L.PERSON_STOPS, *L.AGENCY_WORDS, *sorted(scan._SMALL)])
+    return (
+        f"(len({words}) BETWEEN 2 AND 4 AND NOT regexp_matches({bare}, '\\b(Stock\\s+Exchange|Exchanges?\\s+and\\s+Clearing|Exchange\\s+Limited)\\b')"
+        f" AND len(list_filter({words}, lambda w: (length(w) >= 2 AND regexp_full_match(w, '[^a-z]*[A-Z][^a-z]*')) OR list_contains({bad}, w))) = 0 AND NOT list_contains({_listed(L.ORG_NAME_TAILS)}, ({words})[-1]))"
+    )
+
+
+_NAME_RE2 = scan.NAME.replace("'", "''")
+
+
+def _hits_sql(pattern: str, group: int, source: str = _BOTH_SQL) -> str:
+    """``pack_id, doc_id, text, w, v, pos``: matches with one group's value and the match's place."""
+    return f"""SELECT pack_id, doc_id, text, w, v, CAST(sum(length(g) + length(w)) OVER (PARTITION BY pack_id, doc_id ORDER BY i) AS BIGINT) - length(w) AS pos FROM (
+ SELECT pack_id, doc_id, text, unnest(ms) AS w, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+  SELECT pack_id, doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gs FROM ({source})) WHERE len(ms) > 0)"""
+
+
+def _found_sql(pattern: str, group: int, kind: str, level: int, reason: str, where: str = "true") -> str:
+    return f"SELECT pack_id, doc_id, {kind} AS kind, {level} AS level, {reason} AS reason, v AS value, pos FROM ({_hits_sql(pattern, group)}) WHERE {where}"
+
+
+_TITLE_SQL = "array_to_string([upper(substr(x, 1, 1)) || lower(substr(x, 2)) FOR x IN regexp_extract_all(v, '[A-Za-z]+|[^A-Za-z]+')], '')"
+_HAN_PERSON = "regexp_full_match(v, '[一-鿿]{2,6}') AND NOT regexp_matches(v, '公司|集团|中心|银行|医院|学校|大学|局|厂|店|社|所|院')"
+_ROLE_RE2 = "(?:甲方|乙方|丙方|丁方|戊方|己方)\\s*(?:[（(][^）)\\r\\n]{0,12}[）)])?\\s*[：:]\\s*([^\\s，,。；;（(]{2,40})"
+_AGREED_RE2 = "由([一-鿿（）()A-Za-z0-9·]{2,40}?)与([一-鿿（）()A-Za-z0-9·]{2,40}?)就"
+_JUDGES_RE2 = "(?:审\\s*判\\s*长|审\\s*判\\s*员|书\\s*记\\s*员|人\\s*民\\s*陪\\s*审\\s*员|代\\s*理\\s*审\\s*判\\s*员)\\s*[:：]?\\s*([一-鿿](?:\\s*[一-鿿]){1,3})\\s*(?:\\r?\\n|$)"
+_PHRASES_SQL = _hits_sql("\\b[A-Z][A-Za-z''’-]+(?: [A-Z][A-Za-z''’-]+){1,4}\\b", 0)
+_LISTS_SQL = _hits_sql(rf"\b{_NAME_RE2}(?:(?:[^\S\r\n]*,[^\S\r\n]*|[^\S\r\n]*,?[^\S\r\n]+and[^\S\r\n]+){_NAME_RE2})+", 0)
+_PROJECT_RE2 = "\\bProject\\s+([A-Z][A-Za-z0-9-]{2,})\\b"
+ORACLE_SQL |= {
+    "detect_matter": _found_sql(_PROJECT_RE2, 0, "'PROJECT_OR_ISSUE'", 1, "'project name'") + " UNION ALL " + _found_sql(_PROJECT_RE2, 1, "'PROJECT_OR_ISSUE'", 1, "'project codename alias'", "length(v) > 3"),
+    "detect_product_code": _found_sql(
+        "\\b[A-Z]{2,4}-[0-9]{3}\\b", 0, "'BRAND'", 2, "'product-candidate code'",
+        "regexp_matches(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40) + length(w) + 40), '(?i)product\\s+candidate|drug\\s+candidate')",
+    ),
+    "detect_zh_agreement": " UNION ALL ".join(_found_sql(_AGREED_RE2, g, "CASE WHEN length(v) <= 4 THEN 'PERSON' ELSE 'ORG' END", 2, "'Chinese agreement party heading'") for g in (1, 2)),
+    "detect_zh_party": _found_sql(_ROLE_RE2, 1, f"CASE WHEN {_HAN_PERSON} THEN 'PERSON' ELSE 'ORG' END", 2, f"CASE WHEN {_HAN_PERSON} THEN 'Chinese party role (individual)' ELSE 'Chinese party role (organization)' END"),
+    "detect_zh_signature": _found_sql("(?:签字|签名|签章|签署|授权代表)[^\\r\\n（(]{0,8}[（(]([一-鿿·]{2,4})[）)]", 1, "'PERSON'", 2, "'Chinese signature / authorization name'"),
+    "detect_zh_court": f"SELECT pack_id, doc_id, kind, level, reason, regexp_replace(value, '\\s+', '', 'g') AS value, pos FROM ({_found_sql(_JUDGES_RE2, 1, chr(39) + 'PERSON' + chr(39), 2, chr(39) + 'Chinese court signature name' + chr(39))})",
+    "detect_preamble_party": _found_sql(scan._PARTY.pattern.replace("'", "''"), 1, "'PERSON_OR_ORG'", 2, "'contract preamble party'", _person_sql("v")),
+    "detect_caption_party": _found_sql(scan._CAPTION_PARTY.pattern.replace("'", "''"), 1, "'PERSON'", 2, "'caption party name'", _person_sql(_TITLE_SQL)),
+    "detect_proper_nouns": f"SELECT pack_id, doc_id, 'PROPER_NOUN' AS kind, 3 AS level, 'repeated capitalized phrase' AS reason, v AS value, min(pos) AS pos FROM ({_PHRASES_SQL}) GROUP BY pack_id, doc_id, v HAVING count(*) >= 3 OR count(*) = 2 AND {_person_sql('v')}",
+}
+ORACLE_SQL["detect_person_lists"] = f"""SELECT pack_id, doc_id, 'PERSON' AS kind, 2 AS level, 'title-case person in list' AS reason, v AS value, base + CAST(e AS BIGINT) - length(v) AS pos FROM (
+ SELECT *, sum(length(g) + length(v)) OVER (PARTITION BY pack_id, doc_id, base ORDER BY i) AS e FROM (
+  SELECT pack_id, doc_id, base, unnest(ns) AS v, unnest(gs[1:len(ns)]) AS g, generate_subscripts(ns, 1) AS i FROM (
+   SELECT pack_id, doc_id, pos AS base, regexp_extract_all(w, '{_NAME_RE2}') AS ns, string_split_regex(w, '{_NAME_RE2}') AS gs FROM ({_LISTS_SQL})))) WHERE {_person_sql('v')}"""
+
+# Detectors that go by lines: ``k`` numbers a document's lines, ``s`` is a line without blanks at its ends.
+_ROWS_SQL = f"""SELECT *, trim(line, chr(32) || chr(9) || chr(13)) AS s, lead(line) OVER d AS next_line, lead(pos) OVER d AS next_pos FROM (
+ SELECT pack_id, doc_id, line, i AS k, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY pack_id, doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM (
+  SELECT pack_id, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT pack_id, doc_id, string_split(text, chr(10)) AS ls FROM ({_BOTH_SQL})))) WINDOW d AS (PARTITION BY pack_id, doc_id ORDER BY k)"""
+_PLAIN_SQL = _clean_sql("regexp_replace(line, '<[^>]+>|[*_`]', '', 'g')")
+_STREETS_RE2 = "|".join(L.STREETS)
+_ADDRESS_RE2 = f"(?i)\\b(?:{_STREETS_RE2})\\b|\\b(?:{'|'.join(L.UNITS + L.BUILDINGS)})\\b|\\b[0-9]+\\s*/\\s*F\\b"
+_NUMBERED_RE2 = f"\\b[0-9]+[A-Za-z]?\\s+(?:[A-Z][A-Za-z''’-]+\\s+){{1,5}}(?:{_STREETS_RE2})\\b"
+_TAIL_RE2 = f"\\s*([A-Z][A-Za-z .''-]+),\\s*(?:{'|'.join(L.US_STATES)})\\.?(?:\\s+([0-9]{{5}}(?:-[0-9]{{4}})?))?\\s*"
+_STREET_LINE_SQL = f"""SELECT *, t AS v FROM (SELECT *, {_PLAIN_SQL} AS t FROM ({_ROWS_SQL})) WHERE length(t) BETWEEN 8 AND 100 AND regexp_matches(t, '{_NUMBERED_RE2}') AND NOT regexp_matches(t, '[.!?]\\s+[A-Z][a-z]+ [a-z]+')"""
+_EMPTY_LABEL_RE2 = "(?i)(?:[-*]\\s+)?(To|From|Cc|Client|Prepared for|Attention|Attn|Contact Person)\\s*[:：]"
+_ATTENTION_RE2 = f"^\\s*(?:Attention|Attn)\\.?\\s*[:：]?\\s*({_NAME_RE2})"
+_INVENTOR_RE2 = "^\\s*(?:\\([0-9]+\\)\\s*)?(?:Inventors?|Applicants?)\\s*[:：]\\s*(.+)"
+_PERSONNEL_RE2 = "^" + scan._PERSONNEL.pattern
+_MAIL_RE2 = scan._MAIL.pattern
+
+
+def _line_sql(kind: str, level: int, reason: str, value: str, source: str, pos: str = "pos") -> str:
+    return f"SELECT pack_id, doc_id, {kind} AS kind, {level} AS level, {reason} AS reason, {value} AS value, {pos} AS pos FROM ({source})"
+
+
+def _names_of_lines(condition: str, reason: str, level: int, source: str) -> str:
+    """Names in ``src`` of the lines that meet a condition."""
+    return _line_sql("'PERSON'", level, reason, "v", f"SELECT * FROM (SELECT *, unnest(regexp_extract_all(src, '{_NAME_RE2}')) AS v FROM ({source}) WHERE {condition}) WHERE {_person_sql('v')}")
+
+
+_BARE_SQL = f"SELECT *, regexp_replace(t, '^(?:[-*]\\s+|Dear\\s+)', '') AS v FROM (SELECT *, {_PLAIN_SQL} AS t FROM ({_ROWS_SQL}))"
+ORACLE_SQL |= {
+    "detect_label_cont": _line_sql(
+        f"CASE WHEN {_person_sql('v')} THEN 'PERSON' ELSE 'PERSON_OR_ORG' END", 1, "'label continuation value'", "v",
+        f"SELECT * FROM (SELECT *, {_clean_sql('next_line')} AS v FROM ({_ROWS_SQL}) WHERE next_line IS NOT NULL AND regexp_full_match(s, '{_EMPTY_LABEL_RE2}')) WHERE regexp_matches(v, '^[A-Z]') AND length(v) <= 80 AND NOT regexp_matches(v, '{_MAIL_RE2}')", "next_pos",
+    ),
+    "detect_addr_line": _line_sql("'ADDRESS'", 1, "'standalone address-looking line'", "t", _STREET_LINE_SQL),
+    "detect_addr_tail": _line_sql("'LOCATION'", 1, "'address-tail city-state line'", f"regexp_extract(next_line, '{_TAIL_RE2}', 1)", f"SELECT * FROM ({_STREET_LINE_SQL}) WHERE regexp_full_match(next_line, '{_TAIL_RE2}')", "next_pos")
+    + " UNION ALL " + _line_sql("'POSTCODE'", 1, "'address-tail ZIP'", f"regexp_extract(next_line, '{_TAIL_RE2}', 2)", f"SELECT * FROM ({_STREET_LINE_SQL}) WHERE regexp_full_match(next_line, '{_TAIL_RE2}') AND regexp_extract(next_line, '{_TAIL_RE2}', 2) <> ''", "next_pos"),
+    "detect_addr_cont": _line_sql("'ADDRESS'", 1, "'address continuation'", "t", f"""SELECT * FROM (SELECT *, max(CASE WHEN head THEN k END) OVER before AS last_head, max(CASE WHEN stop THEN k END) OVER before AS last_stop FROM (
+ SELECT *, regexp_full_match(s, '(?i)(?:[-*]\\s+)?Address\\s*[:：].*') AS head, t <> '' AND (regexp_matches(t, '^(?:[A-Za-z ]{{2,30}}\\s*[:：]|[0-9]+\\.\\s+[A-Z])') OR NOT regexp_matches(t, '{_ADDRESS_RE2}|\\b[0-9]{{4,6}}\\b')) AS stop
+ FROM (SELECT *, {_clean_sql('line')} AS t FROM ({_ROWS_SQL}))) WINDOW before AS (PARTITION BY pack_id, doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE t <> '' AND NOT stop AND last_head >= coalesce(last_stop, 0)"""),
+    "detect_person_lines": _line_sql("'PERSON'", 2, "'standalone title-case person line'", "v", f"SELECT * FROM ({_BARE_SQL}) WHERE regexp_full_match(v, '{_NAME_RE2}') AND {_person_sql('v')}"),
+    "detect_attention": _line_sql("'PERSON'", 1, "'attention block continuation'", "v", f"""SELECT * FROM (SELECT *, min(CASE WHEN m THEN k END) OVER (PARTITION BY pack_id, doc_id, block) AS head FROM (
+ SELECT *, regexp_matches(line, '{_ATTENTION_RE2}') AS m, sum(CAST(t = '' AS INT)) OVER (PARTITION BY pack_id, doc_id ORDER BY k) AS block FROM ({_BARE_SQL}))) WHERE head < k AND regexp_full_match(v, '{_NAME_RE2}') AND {_person_sql('v')}""")
+    + " UNION ALL " + _line_sql("'PERSON'", 1, "'attention block name'", "v", f"SELECT * FROM (SELECT *, regexp_extract(line, '{_ATTENTION_RE2}', 1) AS v FROM ({_ROWS_SQL}) WHERE regexp_matches(line, '{_ATTENTION_RE2}')) WHERE {_person_sql('v')}"),
+    "detect_inventors": _names_of_lines(
+        "src IS NOT NULL", "'patent inventor name'", 1,
+        f"SELECT *, CASE WHEN m THEN regexp_extract(line, '{_INVENTOR_RE2}', 1) WHEN s <> '' AND lag(m) OVER (PARTITION BY pack_id, doc_id ORDER BY k) THEN line END AS src FROM (SELECT *, regexp_matches(line, '{_INVENTOR_RE2}') AS m FROM ({_ROWS_SQL}))",
+    ),
+    "detect_caption_personnel": _names_of_lines(
+        "src IS NOT NULL", "CASE WHEN m THEN 'caption-block personnel' ELSE 'caption-block continuation' END", 2,
+        f"""SELECT *, CASE WHEN m THEN regexp_extract(line, '{_PERSONNEL_RE2}', 1) WHEN more AND min(CASE WHEN m THEN k END) OVER (PARTITION BY pack_id, doc_id, block) < k THEN line END AS src FROM (
+ SELECT *, sum(CAST(NOT more AS INT)) OVER (PARTITION BY pack_id, doc_id ORDER BY k) AS block FROM (SELECT *, regexp_matches(line, '{_PERSONNEL_RE2}') AS m, starts_with(line, repeat(' ', 8)) AND s <> '' AS more FROM ({_ROWS_SQL})))""",
+    ),
+}
+_SIGN_RE2 = scan._SIGN.pattern.replace("[^\\W\\d_]", "\\p{L}").replace("[\\w.", "[\\p{L}\\p{N}_.").replace("'", "''")
+_SIGNED_SQL = f"SELECT * FROM ({_hits_sql(_SIGN_RE2, 1)}) WHERE regexp_matches(v, '\\p{{Lu}}') AND len(list_filter(string_split_regex(v, '\\s+'), lambda w: list_contains({_listed([*L.ORG_NAME_TAILS, *L.PERSON_STOPS])}, w))) = 0"
+ORACLE_SQL["detect_signature"] = _line_sql("'PERSON'", 1, "'signature block name'", "v", _SIGNED_SQL) + " UNION ALL " + _line_sql("'PERSON'", 1, "'signature block name'", _TITLE_SQL, f"SELECT * FROM ({_SIGNED_SQL}) WHERE NOT regexp_matches(v, '\\p{{Ll}}')")
+_VETO_RE2 = "\\b(Stock\\s+Exchange|Exchanges?\\s+and\\s+Clearing|Exchange\\s+Limited)\\b"
+_RESIDENCE_RE2 = "\\b([A-Z][A-Za-z''’ -]{2,30}?)\\s*\\(([A-Z]{2})\\)"
+ORACLE_SQL["detect_locations"] = f"""SELECT pack_id, doc_id, 'LOCATION' AS kind, 2 AS level, 'common location' AS reason, substr(text, pos + 1, length(city)) AS value, pos FROM (
+ SELECT *, CAST(sum(length(g) + length(city)) OVER (PARTITION BY pack_id, doc_id, city ORDER BY i) AS BIGINT) - length(city) AS pos FROM (
+  SELECT pack_id, doc_id, text, city, unnest(gs[1:len(gs) - 1]) AS g, generate_subscripts(gs[1:len(gs) - 1], 1) AS i FROM (
+   SELECT pack_id, doc_id, text, city, string_split(lower(replace(text, 'İ', chr(1))), lower(city)) AS gs FROM ({_BOTH_SQL}), (SELECT unnest({_listed(L.CITIES)}) AS city)) WHERE len(gs) > 1))
+ WHERE NOT regexp_matches(substr(text, greatest(pos - 24, 0) + 1, least(pos, 24) + length(city) + 32), '{_VETO_RE2}')
+ UNION ALL SELECT pack_id, doc_id, 'LOCATION', 2, 'patent inventor/assignee residence', string_split(rv, ',')[-1], base + CAST(e AS BIGINT) - length(rw) FROM (
+ SELECT *, sum(length(rg) + length(rw)) OVER (PARTITION BY pack_id, doc_id, base ORDER BY ri) AS e FROM (
+  SELECT pack_id, doc_id, base, unnest(ws) AS rw, unnest(regexp_extract_all(part, '{_RESIDENCE_RE2}', 1)) AS rv, unnest(string_split_regex(part, '{_RESIDENCE_RE2}')[1:len(ws)]) AS rg, generate_subscripts(ws, 1) AS ri FROM (
+   SELECT pack_id, doc_id, pos + length(w) AS base, substr(text, pos + length(w) + 1, 120) AS part, regexp_extract_all(substr(text, pos + length(w) + 1, 120), '{_RESIDENCE_RE2}') AS ws FROM ({_hits_sql(chr(92) + 'b(?:Inventors?|Applicants?|Assignees?)' + chr(92) + 'b', 0)}))))"""
+
+
 for _name, _condition in _DETECTORS.items():
     QUERIES[_name] = _detector(_condition)
 
 
 @query("alias_person")
 def _aliases(spark, sf_dir):
-    docs = detect.sample_pack(spark, _LETTERS, "letters")
+    docs = _with_letters(spark, sf_dir)
     merged = resolve.merge(plan.candidates_of(docs))
     return resolve.person_aliases(merged, docs).select("pack_id", F.col("doc_ord").alias("doc_id"), "value", "level", "reason", "pos")
 

@@ -28,27 +28,52 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     rows = F.zip_with(F.zip_with(whole, gaps, lambda w, g: F.struct(w.alias("w"), g.alias("g"))), values, lambda x, v: F.struct(x["w"].alias("w"), x["g"].alias("g"), v.alias("v")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
-        return F.struct((start + F.length(x["w"])).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("pos"), x["v"].alias("value")))).alias("out"))
+    def placed(rows: Column) -> Column:
+        starts = starts_of(F.transform(rows, lambda x: F.length(x["g"]) + F.length(x["w"])))
+        return F.zip_with(rows, starts, lambda x, s: F.struct((s + F.length(x["g"])).alias("pos"), x["v"].alias("value")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(F.array().cast(MATCH))
+    return F.when(text.rlike(pattern), bound(rows, placed)).otherwise(F.array().cast(MATCH))
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def starts_of(widths: Column, block: int = 256) -> Column:
+    """Sums of all widths before each, within blocks and then of blocks: one long array would be copied for each place."""
+    empty = F.array().cast("array<int>")
+
+    def step(a: Column, w: Column) -> Column:
+        return F.struct((a["at"] + w).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def joined(blocks: Column) -> Column:
+        firsts = F.aggregate(F.transform(blocks, lambda b: b["at"]), zero, step, lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, s: F.transform(b["out"], lambda x: x + s)))
+
+    def summed(w: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(block)), lambda i: F.aggregate(F.slice(w, i, block), zero, step))
+        return F.when(F.size(w) > 0, bound(blocks, joined)).otherwise(empty)
+
+    return bound(widths, summed)
 
 
 def lines(text: Column) -> Column:
     """``array<struct<line_no, pos, line>>``."""
-    breaks = matches(text, "\r?\n")
+    breaks = F.regexp_extract_all(text, F.lit("\r?\n"), F.lit(0))
     parts = F.split(text, "\r?\n", -1)
 
-    def step(a: Column, x: Column) -> Column:
-        row = F.struct(F.size(a["out"]).alias("line_no"), a["at"].alias("pos"), x["l"].alias("line"))
-        return F.struct((a["at"] + F.length(x["l"]) + F.coalesce(x["n"], F.lit(0))).alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    widths = F.transform(breaks, lambda b: F.length(b["value"]))
+    widths = F.transform(breaks, F.length)
     rows = F.zip_with(parts, widths, lambda p, n: F.struct(p.alias("l"), n.alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_no:int,pos:int,line:string>>").alias("out"))
-    return F.aggregate(rows, zero, step, lambda a: a["out"])
+
+    def placed(rows: Column) -> Column:
+        starts = starts_of(F.transform(rows, lambda x: F.length(x["l"]) + F.coalesce(x["n"], F.lit(0))))
+        numbered = F.zip_with(rows, starts, lambda x, s: F.struct(s.alias("pos"), x["l"].alias("line")))
+        return F.transform(numbered, lambda x, i: F.struct(i.alias("line_no"), x["pos"].alias("pos"), x["line"].alias("line")))
+
+    return bound(rows, placed)
 
 
 def _before(text: Column, pos: Column, n: int) -> Column:

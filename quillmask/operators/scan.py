@@ -181,6 +181,9 @@ def not_a_name(v: str) -> bool:
 _STOPS = frozenset(L.PERSON_STOPS)
 _TAILS = frozenset(L.ORG_NAME_TAILS)
 _AGENCY = frozenset(L.AGENCY_WORDS)
+_HEADINGS = frozenset(L.HEADING_ENDINGS)
+_LEADING = frozenset(L.LEADING_WORDS)
+_TERMS = frozenset(L.CONTRACT_TERMS)
 _SMALL = frozenset("The A An Of And Or In On At By For To From With This That These Those Such Any All Some Other Said Our Your Their His Her Its As If When Where".split())
 _TITLE = re.compile(rf"\A(?:{'|'.join(L.TITLES)})\.?\s+", re.A | re.I)
 NAME = r"[A-Z][A-Za-z'’-]+(?:[^\S\r\n]+[A-Z][A-Za-z'’-]+){1,3}"
@@ -190,15 +193,26 @@ def looks_like_person(v: str) -> bool:
     """A cascade of vetoes: none of the words may speak against a person's name."""
     v = re.sub(r"['’]s\Z", "", _TITLE.sub("", v))
     words = v.split()
-    if not 2 <= len(words) <= 4 or exchange(v):
+    if not 2 <= len(words) <= 4 or exchange(v) or any(p in v for p in L.PERSON_PHRASES):
         return False
     if any(len(w) >= 2 and w.isupper() for w in words) or any(w in _SMALL for w in words):
         return False
-    if words[-1] in _TAILS or any(w in _AGENCY for w in words):
+    if words[-1] in _TAILS or words[-1].removesuffix(".") in _HEADINGS or any(w in _AGENCY for w in words) or contract_term(words):
         return False
     return not any(w in _STOPS for w in words)
 
 
+def contract_term(words: list[str]) -> bool:
+    """Whether words, without up to two that lead in, are a defined term: two of them are terms, or the first is one."""
+    own = [w for w in (re.sub(r"['’]s\Z", "", x).strip("\"'“”‘’.,;:()-") for x in words) if w and not re.fullmatch(r"[A-Z]\.?", w)]
+    if len(own) < 2:
+        return False
+    for _ in range(2):
+        if len(own) > 1 and own[0] in _LEADING:
+            own = own[1:]
+    return own[0] in _TERMS or sum(w in _TERMS for w in own) >= 2
+
+
 # Context patterns of people, with their levels and reasons.
 _PEOPLE = [
     (2, "witness/expert heading", re.compile(rf"\b(?:Witness Statement|Expert Report|Statement|Report|Affidavit|Declaration|Affirmation) of ({NAME})")),

@@ -850,11 +850,22 @@ def _listed(words) -> str:
 def _person_sql(v: str) -> str:
     """``scan.looks_like_person`` of a value."""
     bare = rf"regexp_replace(regexp_replace({v}, '^(?i:{'|'.join(L.TITLES)})\.?\s+', ''), '[''’]s$', '')"
-    words = f"list_filter(string_split_regex({bare}, '\\s+'), lambda w: w <> '')"
     bad = _listed([*L.PERSON_STOPS, *L.AGENCY_WORDS, *sorted(scan._SMALL)])
+    own = "list_filter([trim(regexp_replace(x, '[''’]s$', ''), '\"''“”‘’.,;:()-') FOR x IN ws], lambda x: x <> '' AND NOT regexp_full_match(x, '[A-Z]\\.?'))"
+    lead, terms = _listed(L.LEADING_WORDS), _listed(L.CONTRACT_TERMS)
+
+    def cut(x: str) -> str:
+        return f"list_transform([{x}], lambda o: CASE WHEN len(o) > 1 AND list_contains({lead}, o[1]) THEN o[2:] ELSE o END)[1]"
+
+    term = f"(len({own}) >= 2 AND list_transform([{cut(cut(own))}], lambda o: list_contains({terms}, o[1]) OR len(list_filter(o, lambda x: list_contains({terms}, x))) >= 2)[1])"
+    words = (
+        f"len(ws) BETWEEN 2 AND 4 AND len(list_filter(ws, lambda w: (length(w) >= 2 AND regexp_full_match(w, '[^a-z]*[A-Z][^a-z]*')) OR list_contains({bad}, w))) = 0"
+        f" AND NOT list_contains({_listed(L.ORG_NAME_TAILS)}, ws[-1]) AND NOT list_contains({_listed(L.HEADING_ENDINGS)}, regexp_replace(ws[-1], '\\.$', '')) AND NOT {term}"
+    )
     return (
-        f"(len({words}) BETWEEN 2 AND 4 AND NOT regexp_matches({bare}, '\\b(Stock\\s+Exchange|Exchanges?\\s+and\\s+Clearing|Exchange\\s+Limited)\\b')"
-        f" AND len(list_filter({words}, lambda w: (length(w) >= 2 AND regexp_full_match(w, '[^a-z]*[A-Z][^a-z]*')) OR list_contains({bad}, w))) = 0 AND NOT list_contains({_listed(L.ORG_NAME_TAILS)}, ({words})[-1]))"
+        f"list_transform([{bare}], lambda b: NOT regexp_matches(b, '\\b(Stock\\s+Exchange|Exchanges?\\s+and\\s+Clearing|Exchange\\s+Limited)\\b')"
+        f" AND len(list_filter({_listed(L.PERSON_PHRASES)}, lambda p: contains(b, p))) = 0"
+        f" AND list_transform([list_filter(string_split_regex(b, '\\s+'), lambda w: w <> '')], lambda ws: {words})[1])[1]"
     )
 
 

@@ -27,14 +27,13 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     while True:
         # large star: each neighbour above a vertex is linked with the least of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = work.settle(
             both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
         work.discard(now)
-        work.discard(least)
         # small star: a vertex and its lower neighbours are linked with the least of them
-        least = work.settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
@@ -42,7 +41,6 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         )
         now = work.settle(small, "small")
         work.discard(large)
-        work.discard(least)
         mark = _sum(now)
         if mark == seen:
             break

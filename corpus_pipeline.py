@@ -45,13 +45,13 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     gone = near_dedup.near_duplicates(docs, bands=NEAR_BANDS).filter("not kept").select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("g_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["g_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     found = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("g_id"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["g_id"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ def with_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     The range partitions are as many as the session's shuffle partitions; their counts, one row each, are summed.
     """
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).persist()
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).persist()  # read twice; the session drops it when it needs the room
     sizes = sorted((r["_part"], r["count"]) for r in ranked.groupBy("_part").count().collect())
     before, total = [], 0
     for part, n in sizes:

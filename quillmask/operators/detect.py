@@ -173,7 +173,7 @@ def detect_configured(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     def hits(t: Column) -> Column:
         found = literal_positions(text, t["term"], True)
         size = F.length(t["term"])
-        whole = F.filter(found, lambda p: ~F.substring(text, p, F.lit(1)).rlike(r"\A[A-Za-z0-9]") & ~F.substring(text, p + size + 1, F.lit(1)).rlike(r"\A[A-Za-z0-9]"))
+        whole = F.filter(found, lambda p: ~((p > 0) & F.substring(text, p, F.lit(1)).rlike(r"\A[A-Za-z0-9]")) & ~F.substring(text, p + size + 1, F.lit(1)).rlike(r"\A[A-Za-z0-9]"))
         free = F.filter(found, lambda p: ~F.regexp_replace(F.substring(text, F.greatest(p - 24, F.lit(0)) + 1, F.least(p, F.lit(24)) + size + 32), r"\s+", " ").rlike(_EXCHANGE))
         kept = F.when(t["term_type"] == "organization", whole).when(t["term_type"] == "location", free).otherwise(found)
         return F.transform(kept, lambda p: F.struct(t["term_type"].alias("type"), t["ord"].alias("rule"), F.substring(text, p + 1, size).alias("value"), p.alias("pos")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.lexicons import AMBIGUOUS_NAMES, KINDS, TITLES
+from quillmask.functions.ordinal import with_ordinal
 from quillmask.functions.text import dedupe_norm, entry_id
 
 
@@ -110,6 +111,16 @@ def address_aliases(merged: DataFrame) -> DataFrame:
     )
 
 
+def norm_index(entries: DataFrame) -> DataFrame:
+    """``pack_id, norm, kinds, n``: which kinds and how many values count as the same."""
+    return entries.groupBy("pack_id", dedupe_norm(F.col("value")).alias("norm")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.countDistinct("value").alias("n"))
+
+
+def sort_candidates(candidates: DataFrame) -> DataFrame:
+    """``ord``, 1 to n over all packs by position, level and kind (then pack and value), without a task that sees them all."""
+    return with_ordinal(candidates, ["pos", "level", "kind", "pack_id", "value"], "ord")
+
+
 def canonical_person(resolved: DataFrame) -> DataFrame:
     """``canonical``: the full name for titled forms and for surnames that only one full name of the pack has."""
     bare = F.regexp_replace("value", rf"(?i)\A(?:{'|'.join(TITLES)})\.?\s+", "")

@@ -192,3 +192,29 @@ def gate_totals(baseline: DataFrame, candidate: DataFrame, most_keep_gain: int =
     keeps = row("keep_violations", F.col("a_keep_violations"), F.col("b_keep_violations"), F.col("b_keep_violations") - F.col("a_keep_violations") > most_keep_gain)
     precision = row("precision", F.col("a_precision"), F.col("b_precision"), F.col("a_precision") - F.col("b_precision") > most_precision_drop)
     return both.select(F.explode(F.array(keeps, precision)).alias("r")).select("r.*")
+
+
+# Severities of annotations.
+SEVERITIES = ("critical", "high", "medium", "low", "none")
+
+
+def batch_validate(batch: DataFrame, docs: DataFrame) -> DataFrame:
+    """Problems of annotation batches, a row each: ``batch(doc_id, source_text_sha256, id, action, label, severity,
+    confidence, reason, start, end, text)`` against ``docs(doc_id, text)``."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source")).withColumn("digest", F.sha2("source", 256))
+    rows = batch.join(text, "doc_id", "left")
+    repeated = F.count("*").over(Window.partitionBy("doc_id", "id")) > 1
+    span = F.substring("source", F.col("start") + 1, F.col("end") - F.col("start"))
+
+    def when(bad: Column, problem: str) -> Column:
+        return F.when(F.coalesce(bad, F.lit(True)), problem)
+
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    checks = F.array(
+        when(F.col("digest") != F.col("source_text_sha256"), "digest"), when(blank("id"), "id"), when(~blank("id") & F.col("repeated"), "id repeated"), when(~F.col("action").isin("redact", "keep"), "action"),
+        when(blank("label"), "label"), when(F.col("start") < 0, "start"), when(F.col("end") <= F.col("start"), "end"), when(blank("text"), "no text"), when(~F.col("severity").isin(*SEVERITIES), "severity"),
+        F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence"), when(blank("reason"), "reason"), when((F.col("action") == "keep") != (F.col("severity") == "none"), "severity of action"),
+        when(span != F.col("text"), "text"),
+    )
+    found = F.when(F.col("digest").isNull(), F.array(F.lit("not in index"))).otherwise(F.filter(checks, lambda p: p.isNotNull()))
+    return rows.withColumn("repeated", repeated).select("doc_id", "id", F.explode(found).alias("problem"))

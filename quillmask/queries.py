@@ -11,7 +11,7 @@ from quillmask.functions import checks
 from quillmask.functions import text as T
 from quillmask.functions import lexicons as L
 from quillmask.functions.lexicons import IBAN_COUNTRIES, KINDS, PRC_ID_CHECKS, PRC_ID_WEIGHTS, ROLE_INBOXES, USCC_ALPHABET, USCC_WEIGHTS
-from quillmask.operators import detect, resolve, restore, review, rewrite, rules, scan, score
+from quillmask.operators import detect, notes, resolve, restore, review, rewrite, rules, scan, score
 from quillmask.plans import redact as plan
 from quillmask.sources import readers
 
@@ -361,6 +361,20 @@ def _index(spark, sf_dir):
     return rows.groupBy("pack_id", "value").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 
+@query("norm_index", f"SELECT pack_id, {_norm_sql('value')} AS norm, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, count(DISTINCT value) AS n FROM {_CANDS_SQL} GROUP BY 1, 2")
+def _norms(spark, sf_dir):
+    return resolve.norm_index(_fixture(spark, _CANDS, "pack_id string, kind string, value string, level int, pos int"))
+
+
+@query(
+    "sort_candidates",
+    f"SELECT pack_id, doc_ord, value, row_number() OVER (ORDER BY pos, pack_id, value, doc_ord) AS ord FROM (SELECT DISTINCT pack_id, doc_ord, value, pos FROM ({_EMAILS_SQL}))",
+)
+def _sorted(spark, sf_dir):
+    found = _email_candidates(spark, sf_dir).select("pack_id", "doc_ord", "value", "pos", "level", "kind").distinct()
+    return resolve.sort_candidates(found).select("pack_id", F.col("doc_ord").cast("long").alias("doc_ord"), "value", F.col("ord").cast("long").alias("ord"))
+
+
 _TERMS = [("p", 1, "Falcon"), ("p", 2, " falcon. "), ("p", 3, "Blue Sky"), ("q", 1, "Falcon"), ("q", 2, "")]
 
 
@@ -477,6 +491,25 @@ def _categories(spark, sf_dir):
     return score.category_buckets(_score_document(spark, sf_dir), docs)
 
 
+_BATCH_SQL = f"""SELECT g.doc_id, g.id, g.action, g.label, g.severity, g.start, g."end", CASE WHEN g.doc_id % 7 = 0 THEN '' ELSE 'r' END AS reason, CASE WHEN g.doc_id % 6 = 0 THEN 1.5 END AS confidence,
+ sha256(coalesce(d.text, '')) AS digest, substr(d.text, CAST(g.start AS BIGINT) + 1, CAST(g."end" - g.start AS BIGINT)) AS text, d.text AS source FROM ({_GOLD_SQL}) g JOIN documents d USING (doc_id)"""
+
+
+@query(
+    "batch_validate",
+    f"""WITH b AS ({_BATCH_SQL}), c AS (SELECT doc_id, id, [CASE WHEN action NOT IN ('redact', 'keep') THEN 'action' END, CASE WHEN coalesce(text, '') = '' THEN 'no text' END,
+  CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN reason = '' THEN 'reason' END, CASE WHEN (action = 'keep') <> (severity = 'none') THEN 'severity of action' END] AS ps FROM b)
+ SELECT doc_id, id, p AS problem FROM (SELECT doc_id, id, unnest(ps) AS p FROM c) WHERE p IS NOT NULL UNION ALL SELECT doc_id + 1000000000, id, 'not in index' FROM b WHERE doc_id % 3 = 0""",
+)
+def _batch_validate(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = _gold(spark, sf_dir).join(docs.withColumn("source_text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumnRenamed("text", "t"), "doc_id")
+    gold = gold.withColumn("text", F.substring("t", F.col("start") + 1, F.col("end") - F.col("start"))).drop("t")
+    gold = gold.withColumn("reason", F.when(F.col("doc_id") % 7 == 0, "").otherwise("r")).withColumn("confidence", F.when(F.col("doc_id") % 6 == 0, 1.5))
+    lost = gold.filter("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1000000000)
+    return score.batch_validate(gold.unionByName(lost), docs)
+
+
 @query("consensus")
 def _consensus(spark, sf_dir):
     gold = _gold(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -768,6 +801,28 @@ def _merge_entries(spark, sf_dir):
     return resolve.merge_entries(detected, user, first.limit(0)).select("pack_id", "id", "replacement")
 
 
+_NOTES = [
+    (1, "---\nslug: a\ntitle: T: x\ndate: May\nsummary: s\n---\n## Head *x* <b>\n\nA `c<` and ==m== **s** *e* & \"q\"\nnext\n\n- one\n- *two*\n\n1. a\n2. b\n\n> q1\n>q2\n\n![al](p.png \"cap\")\n\n![](q.png)\n\n- no\nlist"),
+    (2, "no front"), (3, "---\nslug: a\ntitle:\ndate: May\nsummary: s\n---\ntext"), (4, None), (5, "---\nslug: a\ntitle: t\ndate: May\ndatetime: 2024-05-01\nsummary: s\n---\n"),
+]
+
+
+def _notes(spark, sf_dir) -> DataFrame:
+    """The documents as bodies of notes, and some notes with all forms of blocks."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\nslug: s\ntitle: t\ndate: d\nsummary: x\n---\n"), F.coalesce("text", F.lit(""))).alias("source"))
+    return docs.withColumnRenamed("doc_id", "note_id").unionByName(_fixture(spark, [(-i, t) for i, t in _NOTES], "note_id long, source string"))
+
+
+@query("note_parse")
+def _note_parse(spark, sf_dir):
+    return notes.note_parse(_notes(spark, sf_dir)).select("note_id", "slug", "title", "date", "datetime", "summary", "problem", F.size("blocks").alias("n_blocks"), F.to_json("blocks").alias("blocks"))
+
+
+@query("note_render")
+def _note_render(spark, sf_dir):
+    return notes.note_render(notes.note_parse(_notes(spark, sf_dir)))
+
+
 # --- detectors by name, on fixtures -------------------------------------------
 
 _LETTERS = [

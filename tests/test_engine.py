@@ -197,3 +197,39 @@ def test_cities_beside_a_dotted_capital_i(spark):
     assert sorted(found) == [("New York", text.index("New York")), ("london", text.index("london"))]
     sanitized = redact(detect.sample_pack(spark, [text]), level=2).documents.select("sanitized").first()[0]
     assert "london" not in sanitized and "New York" not in sanitized
+
+
+def test_notes(spark):
+    from quillmask.operators import notes
+    from quillmask.queries import _NOTES
+
+    parsed = notes.note_parse(spark.createDataFrame(_NOTES, "note_id long, source string"))
+    rows = {r.note_id: r for r in parsed.collect()}
+    assert [rows[i].problem for i in range(1, 6)] == [None, "front matter", "title", "front matter", None]
+    assert rows[1].title == "T: x" and rows[5].datetime == "2024-05-01" and rows[5].blocks == []
+    assert [b.type for b in rows[1].blocks] == ["heading", "paragraph", "list", "list", "blockquote", "image", "image", "paragraph"]
+    html = {r.note_id: r.html for r in notes.note_render(parsed).collect()}
+    assert html.keys() == {1, 5}
+    assert html[1] == (
+        '<article class="field-note-article"><h2>Head *x* &lt;b&gt;</h2><p>A <code>c&lt;</code> and <mark>m</mark> <strong>s</strong> <em>e</em> &amp; &quot;q&quot; next</p><ul><li>one</li><li><em>two</em></li></ul>'
+        '<ol><li>a</li><li>b</li></ol><blockquote>q1<br>q2</blockquote><figure class="field-note-figure"><img src="p.png" alt="al" loading="lazy" /><figcaption>cap</figcaption></figure>'
+        '<figure class="field-note-figure"><img src="q.png" alt="" loading="lazy" /></figure><p>- no list</p></article>'
+    )
+
+
+def test_configured_terms(spark):
+    docs = detect.sample_pack(spark, ["Acme X met acme xs. acme\nx; London Stock Exchange in london, London.", "FALCON falcons \\E a.b axb", None])
+    terms = [("p1", "organization", 1, "Acme X"), ("p1", "location", 1, "London"), ("p1", "matter", 1, "Falcon"), ("p1", "matter", 2, "a.b"), ("p1", "matter", 3, "\\E a"), ("p1", "other", 1, "met"), ("p2", "matter", 1, "met"), ("p1", "matter", 4, "the")]
+    got = detect.detect_configured(docs, spark.createDataFrame(terms, "pack_id string, term_type string, ord int, term string")).collect()
+    assert sorted((r.doc_ord, r.kind, r.value, r.pos) for r in got) == [
+        (0, "LOCATION", "London", 61), (0, "LOCATION", "london", 53), (0, "ORG", "Acme X", 0), (1, "PROJECT_OR_ISSUE", "FALCON", 0), (1, "PROJECT_OR_ISSUE", "\\E a", 15), (1, "PROJECT_OR_ISSUE", "a.b", 18), (1, "PROJECT_OR_ISSUE", "falcon", 7)
+    ]
+    review = redact(docs, lexicon=spark.createDataFrame(terms, "pack_id string, term_type string, ord int, term string")).documents.collect()
+    assert not any("FALCON" in r.sanitized for r in review)
+
+
+def test_person_vetoes():
+    for v in ("Governing Law", "Card Activity Interface", "Company Secretary", "Securities Act", "Bank Details", "Common Stock", "The Administrative Agent", "Drug Administration", "Use Of Proceeds", "ANN Lee", "Ann"):
+        assert not scan.looks_like_person(v), v
+    for v in ("Ann Lee", "Dr. Mara Quill", "Jordan Price", "Patrick Cash", "Mara Ida Quill's"):
+        assert scan.looks_like_person(v), v

@@ -10,8 +10,8 @@ star-shaped candidate edges.
    minimum, so exact copies, however many, cost one row each from here on.
 3. Stars: in every bucket each member gets one edge to a head, which gives as many candidate
    edges as members.  They are confirmed on the full sets, and components of the confirmed
-   links are formed.  This is done ``stars`` times, with the least id and then with other heads, each time only in
-   buckets that still hold members of two components, and only between two components.
+   links are formed.  While more than ``few`` buckets hold members of two components, this is done again in these, up to
+   ``stars`` times, with other heads and only between two components.
 4. Stars alone could lose a link between two members that both differ from each head.  So members of
    different components that still share a bucket are compared in full: components that such
    buckets join make a family, a family is cut into blocks of one large component or of several small
@@ -249,7 +249,7 @@ def _compare_blocks(members: DataFrame, items: DataFrame, num: int, den: int, bl
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 7, stars: int = 2, block_docs: int = 256, block_items: int = 1_000_000, hot_rows: int = 256
+    docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 36, rows: int = 7, stars: int = 4, few: int = 50_000, block_docs: int = 128, block_items: int = 1_000_000, hot_rows: int = 256
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document of ``docs``.
 
@@ -271,7 +271,7 @@ def near_duplicates(
     work.discard(buckets)
     nodes = shared.select(F.col("node").alias("doc_id")).distinct()
     make, schema = _set_maker(shingle)
-    items = work.settle(text.join(nodes, "doc_id", "left_semi").mapInArrow(make, schema).distinct(), "items")
+    items = work.settle(text.join(nodes, "doc_id", "left_semi").mapInArrow(make, schema), "items")
 
     # texts of one repeated id are one document
     several = full.groupBy("doc_id").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi")).filter("lo <> hi").select("doc_id")
@@ -286,9 +286,11 @@ def near_duplicates(
         first = F.min(F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("order"), "node", "component")).alias("head")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first).filter("lo <> hi")
         mixed = work.settle(mixed.select("bucket", "lo", F.col("head.node").alias("head"), F.col("head.component").alias("other")), "mixed")
-        if not mixed.take(1):
+        left = mixed.count()
+        if not left:
             break
-        if turn < stars:
+        last = turn == stars or turn > 0 and left <= few
+        if not last:
             pairs = placed.join(mixed, "bucket").filter("component <> other").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
             found = _check_pairs(work.settle(pairs, "pairs"), items, num, den)
         else:
@@ -299,6 +301,8 @@ def near_duplicates(
         found = work.settle(found, "links")
         links = found if links is None else links.unionByName(found)
         groups = connected_components(links, work)
+        if last:
+            break
 
     named = least.select("key1", "key2", "rows", F.col("rep").alias("component_id"))
     if groups is not None:

@@ -16,7 +16,8 @@ Method: a count-min prefilter, of any size, whose slices stay with their owner t
 3. Each unit meets its removed windows.  Texts that lose no words are read in place like the others; none is dealt.
 
 The driver sees the sum of text lengths and nothing else; nothing is broadcast.  A task holds a slice of
-``1 << slice_bits`` counts, a unit, or a part of the windows (about ``part_octets`` of text), whatever the input.
+counts, a unit, or a part of the windows (about ``part_octets`` of text).  Units of 6 MB and slices of 8 MB grow with the
+input, to 128 MB each at 100 TB, so that a unit and a slice share some 30 windows at least: see ``sizes``.
 
 A word is covered if a window over it also starts in a document with a smaller
 ``doc_id``; covered words are removed, judged on the input.  Null and empty texts
@@ -53,6 +54,12 @@ def sketch_bits(octets: int, least: int = 16) -> int:
     return max(least, math.ceil(math.log2(max(2, octets * 2 / 3))))
 
 
+def sizes(bits: int) -> tuple[int, int]:
+    """Cells of a slice, as a power of two, and bytes of a unit: a unit and a slice share 32 windows or more, up to 2 ** 19 slices."""
+    slice_bits = min(27, max(23, bits - 18))
+    return slice_bits, min(128_000_000, max(6_000_000, int(32 * 7.6) << max(0, bits - slice_bits)))
+
+
 def expected_passing(windows: float, bits: int, depth: int = 2) -> float:
     """The share of unique windows that is estimated repeated, with ``windows`` distinct ones in the corpus."""
     return (1 - math.exp(-windows / 2.0**bits)) ** depth
@@ -375,21 +382,22 @@ def _finisher(width: int, with_text: bool):
 
 
 def remove_repeated_windows(
-    docs: DataFrame, width: int = 13, depth: int = 2, bits: int | None = None, slice_bits: int = 23, unit_octets: int = 16_000_000, part_octets: int = 32_000_000, with_text: bool = False
+    docs: DataFrame, width: int = 13, depth: int = 2, bits: int | None = None, slice_bits: int | None = None, unit_octets: int | None = None, part_octets: int = 12_000_000, with_text: bool = False
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``docs``.
 
-    ``bits`` sets the size of the sketch, for tests of its estimates.
+    ``bits``, ``slice_bits`` and ``unit_octets`` follow from the input; tests set them.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
     octets = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits or sketch_bits(octets)
+    slice_bits, unit_octets = slice_bits or sizes(bits)[0], unit_octets or sizes(bits)[1]
     tasks = min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), octets // unit_octets))
     make, schema = _unit_maker(unit_octets)
     units = work.settle_bucketed(text.mapInArrow(make, schema), "units", "unit", tasks)
 
-    bits = bits or sketch_bits(octets)
     make, schema = _sketcher(width, depth, bits, slice_bits)
     sketches = units.filter("doc_id is not null").select("doc_id", "text", "unit").mapInArrow(make, schema)
     slices = min(50_000, depth << max(0, bits - slice_bits))

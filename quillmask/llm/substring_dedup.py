@@ -412,6 +412,7 @@ def remove_repeated_windows(
     entries = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(send, schema)
     gone = entries.repartition(min(parts, 50_000), "part").sortWithinPartitions("part").mapInArrow(group, grouped)
     gone = work.settle(gone, "gone")
+    work.discard(answers)
     work.release()
     finish, schema = _finisher(width, with_text)
     return units.groupBy("unit").cogroup(gone.groupBy("unit")).applyInArrow(finish, schema)

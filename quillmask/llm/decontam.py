@@ -12,7 +12,8 @@ words there is within ``floor((1 - similarity) * n)`` word edits of it.
 2. Item-sized windows that are left go through CGK random walks, which map edit distance to Hamming
    distance.  ``repeats`` times, ``bits`` places of a walk are sampled for a key; windows and items of equal
    length and key share a bucket of a locality-sensitive hash table.  At half of the places equal, one key is equal
-   with probability 0.5 ** bits.  Keys of one walk are not independent, so recall is measured: see the tests.
+   with probability 0.5 ** bits.  Places are sampled from the first half of the steps, which few walks end in: of ended
+   walks all keys would be equal.  Keys of one walk are not independent, so recall is measured: see the tests.
 3. Windows and items of one bucket are confirmed by exact edit distance.
 
 Items are broadcast in blocks of at most ``block_octets`` of text, one pass over the documents for each block,
@@ -130,7 +131,7 @@ class Items:
         for s, e in enumerate(embed(seqs, walks)):
             for r in range(per):
                 key = np.full(m, U(s * per + r + 1))
-                for place in rng.integers(0, 3 * n, self.bits):
+                for place in rng.integers(0, 3 * n // 2, self.bits):
                     key = K.mix(key * U(0xD1342543DE82EF95) + e[:, place])
                 out.append(key)
         return np.stack(out, axis=1)

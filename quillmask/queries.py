@@ -510,7 +510,13 @@ def _batch_validate(spark, sf_dir):
     return score.batch_validate(gold.unionByName(lost), docs)
 
 
-@query("consensus")
+@query(
+    "consensus",
+    f"""SELECT CAST(a.doc_id AS VARCHAR) AS doc_id, a.action, a.id AS a_id, b.id AS b_id, a.label = 'EMAIL' AS compatible, (least(a."end", b."end") - greatest(a.start, b.start)) / (greatest(a."end", b."end") - least(a.start, b.start)) AS iou,
+ greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM ({_GOLD_SQL}) a JOIN (SELECT doc_id, CAST(start AS VARCHAR) AS id, start, "end" FROM ({_SPANS_SQL})) b
+ ON a.doc_id = b.doc_id AND a.action = 'redact' AND a.start < b."end" AND b.start < a."end" WHERE iou >= 0.5
+ QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.id ORDER BY iou DESC, b.id) = 1 AND row_number() OVER (PARTITION BY b.doc_id, b.id ORDER BY iou DESC, a.id) = 1""",
+)
 def _consensus(spark, sf_dir):
     gold = _gold(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
     other = _spans(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("start").cast("string").alias("id"), F.lit("redact").alias("action"), F.lit("EMAIL").alias("label"), "start", "end")
@@ -1017,6 +1023,10 @@ ORACLE_SQL |= {
  SELECT *, sum(CAST(NOT more AS INT)) OVER (PARTITION BY pack_id, doc_id ORDER BY k) AS block FROM (SELECT *, regexp_matches(line, '{_PERSONNEL_RE2}') AS m, starts_with(line, repeat(' ', 8)) AND s <> '' AS more FROM ({_ROWS_SQL})))""",
     ),
 }
+_HONORED_RE2 = "(^|[，,。；;：:、\\s（(由与和对向请为])([一-鿿]{1,3})(先生|女士|小姐)"
+_HONORED_SQL = _hits_sql(_HONORED_RE2, 2)
+ORACLE_SQL["detect_zh_honorific"] = f"""SELECT pack_id, doc_id, 'PERSON' AS kind, 2 AS level, 'Chinese honorific-suffixed name' AS reason, substr(v, lead + 1) || right(w, 2) AS value, pos + length(w) - length(v) - 2 + lead AS pos
+ FROM (SELECT *, CASE WHEN length(v) > 1 THEN length(v) - length(ltrim(v, '由与和对向请为致给让')) ELSE 0 END AS lead FROM ({_HONORED_SQL}))"""
 _SIGN_RE2 = scan._SIGN.pattern.replace("[^\\W\\d_]", "\\p{L}").replace("[\\w.", "[\\p{L}\\p{N}_.").replace("'", "''")
 _SIGNED_SQL = f"SELECT * FROM ({_hits_sql(_SIGN_RE2, 1)}) WHERE regexp_matches(v, '\\p{{Lu}}') AND len(list_filter(string_split_regex(v, '\\s+'), lambda w: list_contains({_listed([*L.ORG_NAME_TAILS, *L.PERSON_STOPS])}, w))) = 0"
 ORACLE_SQL["detect_signature"] = _line_sql("'PERSON'", 1, "'signature block name'", "v", _SIGNED_SQL) + " UNION ALL " + _line_sql("'PERSON'", 1, "'signature block name'", _TITLE_SQL, f"SELECT * FROM ({_SIGNED_SQL}) WHERE NOT regexp_matches(v, '\\p{{Ll}}')")
@@ -1044,21 +1054,42 @@ def _aliases(spark, sf_dir):
     return resolve.person_aliases(merged, docs).select("pack_id", F.col("doc_ord").alias("doc_id"), "value", "level", "reason", "pos")
 
 
-@query("alias_org")
+_ORGS = [("p", "ORG", "Blue Sky (UK) Limited", 2, 5), ("p", "ORG", "Acme Ltd", 2, 9), ("p", "PERSON", "Ann Lee (x)", 2, 3), ("q", "ORG", "北京蓝天（集团）公司", 2, 1), ("q", "ORG", "AB (C)", 2, 7)]
+
+
+@query(
+    "alias_org",
+    f"SELECT pack_id, trim(regexp_extract(value, '^([^(（]{{3,}})[(（]', 1)) AS value, 'organization bracket alias' AS reason FROM {_values(_ORGS, 'pack_id, kind, value, level, pos')} WHERE kind = 'ORG' AND length(trim(regexp_extract(value, '^([^(（]{{3,}})[(（]', 1))) > 2",
+)
 def _alias_org(spark, sf_dir):
-    rows = _fixture(spark, [("p", "ORG", "Blue Sky (UK) Limited", 2, 5), ("p", "ORG", "Acme Ltd", 2, 9)], "pack_id string, kind string, value string, level int, pos int")
+    rows = _fixture(spark, _ORGS, "pack_id string, kind string, value string, level int, pos int")
     merged = rows.withColumns({"seq": F.struct(F.lit(0).alias("doc_ord"), F.lit(0).alias("detector"), F.lit(0).alias("rule"), "pos"), "sources": F.array(F.lit("a"))})
     return resolve.org_aliases(merged).select("pack_id", "value", "reason")
 
 
-@query("alias_zh_addr")
+_ZH_PLACES = [("p", "ADDRESS", "上海市浦东新区世纪大道100号20楼1室", 2, 5), ("p", "ADDRESS", "北京市海淀区中关村", 2, 6), ("q", "ADDRESS", "12 Baker Street", 2, 1)]
+
+
+@query(
+    "alias_zh_addr",
+    f"""SELECT pack_id, v AS value, 'Chinese address prefix alias' AS reason FROM (SELECT pack_id, unnest([substr(value, 1, n) FOR n IN range(6, greatest(length(value), 7))]) AS v FROM {_values(_ZH_PLACES, 'pack_id, kind, value, level, pos')}
+ WHERE regexp_matches(value, '[㐀-鿿]') AND length(value) > 6) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '(?:号|室|楼|层|栋|幢|座|单元|弄|村|路|街)$')""",
+)
 def _alias_zh(spark, sf_dir):
-    rows = _fixture(spark, [("p", "ADDRESS", "上海市浦东新区世纪大道100号20楼1室", 2, 5)], "pack_id string, kind string, value string, level int, pos int")
+    rows = _fixture(spark, _ZH_PLACES, "pack_id string, kind string, value string, level int, pos int")
     merged = rows.withColumns({"seq": F.struct(F.lit(0).alias("doc_ord"), F.lit(0).alias("detector"), F.lit(0).alias("rule"), "pos"), "sources": F.array(F.lit("a"))})
     return resolve.address_aliases(merged).select("pack_id", "value", "reason")
 
 
-@query("canonical_person")
+_PERSONS = [("p", "PERSON", v, 1, i) for i, v in enumerate(("Mara Quill", "Ms Quill", "Quill", "Ann Lee", "Bo Lee", "Lee", "Dr. Ann Lee", "Sir Zed"))]
+
+
+@query(
+    "canonical_person",
+    f"""WITH r AS (SELECT value, regexp_replace(value, '^(?i:{'|'.join(L.TITLES)})\\.?\\s+', '') AS bare FROM {_values(_PERSONS, 'pack_id, kind, value, level, pos')}),
+ f AS (SELECT string_split(bare, ' ')[-1] AS surname, min(value) AS full_name FROM r WHERE bare = value AND contains(bare, ' ') GROUP BY 1 HAVING count(DISTINCT value) = 1)
+ SELECT r.value, coalesce((SELECT k.value FROM r k WHERE k.value = k.bare AND contains(k.value, ' ') AND k.value = r.bare), CASE WHEN NOT contains(r.bare, ' ') THEN f.full_name END, r.value) AS canonical
+ FROM r LEFT JOIN f ON f.surname = string_split(r.bare, ' ')[-1]""",
+)
 def _canonical(spark, sf_dir):
-    rows = [("p", "PERSON", v, 1, i) for i, v in enumerate(("Mara Quill", "Ms Quill", "Quill", "Ann Lee", "Bo Lee", "Lee"))]
-    return resolve.canonical_person(_fixture(spark, rows, "pack_id string, kind string, value string, level int, pos int")).select("value", "canonical")
+    return resolve.canonical_person(_fixture(spark, _PERSONS, "pack_id string, kind string, value string, level int, pos int")).select("value", "canonical")

@@ -233,3 +233,9 @@ def test_person_vetoes():
         assert not scan.looks_like_person(v), v
     for v in ("Ann Lee", "Dr. Mara Quill", "Jordan Price", "Patrick Cash", "Mara Ida Quill's"):
         assert scan.looks_like_person(v), v
+
+
+def test_candidates_of_one_place_and_value_are_numbered_by_document(spark):
+    rows = [(pack, doc, "a@b.example", 7, 1, "EMAIL") for pack in ("s", None) for doc in range(40, 0, -1)]
+    found = resolve.sort_candidates(spark.createDataFrame(rows, "pack_id string, doc_ord long, value string, pos int, level int, kind string").repartition(5))
+    assert [(r["pack_id"], r["doc_ord"]) for r in found.orderBy("ord").collect()] == [(pack, doc) for pack in ("s", None) for doc in range(1, 41)]

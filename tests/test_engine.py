@@ -239,3 +239,8 @@ def test_candidates_of_one_place_and_value_are_numbered_by_document(spark):
     rows = [(pack, doc, "a@b.example", 7, 1, "EMAIL") for pack in ("s", None) for doc in range(40, 0, -1)]
     found = resolve.sort_candidates(spark.createDataFrame(rows, "pack_id string, doc_ord long, value string, pos int, level int, kind string").repartition(5))
     assert [(r["pack_id"], r["doc_ord"]) for r in found.orderBy("ord").collect()] == [(pack, doc) for pack in ("s", None) for doc in range(1, 41)]
+
+
+def test_phrases_beside_other_letters():
+    text = "ÉAB CD. ÀAB CD. AB CDÉ. AB CD EÉ, AB CD EÉ, AB CD EÉ; AB Cñ"
+    assert [(f[3], f[4]) for f in scan.other(text) if f[0] == "PROPER_NOUN"] == [("AB CD", 1)]
